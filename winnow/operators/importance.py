@@ -79,6 +79,30 @@ def shap_aggregate(per_model: DataFrame) -> DataFrame:
     return mean.orderBy(F.desc("mean_abs_shap"), "feature")
 
 
+def linear_importance(df: DataFrame, weights: Mapping[str, Mapping[str, float]], features: Sequence[str]) -> DataFrame:
+    """(model, feature, mean_abs_shap, mean_gain) of weighted-sum scorers, in closed form.
+
+    The Shapley value of a weighted sum is ``w * (x - mean)``; as gain stands the variance that the
+    term explains. Two wide aggregates, whatever the number of rows.
+    """
+    filled = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    facts = filled.agg(
+        *[F.avg(f).alias(f"m_{f}") for f in features], *[F.var_pop(f).alias(f"v_{f}") for f in features]
+    ).first()
+    away = filled.agg(*[F.avg(F.abs(F.col(f) - F.lit(facts[f"m_{f}"]))).alias(f) for f in features])
+    long = away.unpivot([], list(features), "feature", "_away")
+    cells = F.array(*[
+        F.struct(
+            F.lit(m).alias("model"), F.lit(f).alias("_f"), F.lit(abs(float(w.get(f, 0.0)))).alias("_w"),
+            F.lit(float(w.get(f, 0.0)) ** 2 * facts[f"v_{f}"]).alias("mean_gain"),
+        )
+        for m, w in weights.items() for f in features
+    ])
+    return long.select("feature", "_away", F.explode(cells).alias("_c")).where("feature = _c._f").select(
+        "_c.model", "feature", (F.col("_c._w") * F.col("_away")).alias("mean_abs_shap"), "_c.mean_gain"
+    )
+
+
 def topk_shap(shap: DataFrame, k: int) -> DataFrame:
     return shap.orderBy(F.desc("mean_abs_shap"), "feature").limit(k)
 

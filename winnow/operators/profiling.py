@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.running import running_totals
 from winnow.functions.scalars import numeric_columns, ratio
+from winnow.operators.cleaning import COLUMN_BATCH
 
 # Up to this many pairs one wide aggregate is cheapest; beyond it matrix products per batch are.
 WIDE_PAIRS = 200
@@ -134,10 +135,27 @@ def feature_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def feature_pairs_self_join(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The pairs as a table, from the (bounded) list of columns of ``df``."""
+    """(i, j, feature_a, feature_b, n_both): unordered column pairs and the rows that know both.
+
+    The pairs come from the schema, not from a join; their counts are one aggregate per batch.
+    """
     columns = list(columns or numeric_columns(df))
-    rows = [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, feature_a string, feature_b string")
+    places = list(combinations(range(len(columns)), 2))
+    parts = []
+    for start in range(0, len(places), COLUMN_BATCH):
+        batch = places[start : start + COLUMN_BATCH]
+        counted = df.agg(*[
+            F.count_if(F.col(f"`{columns[i]}`").isNotNull() & F.col(f"`{columns[j]}`").isNotNull()).alias(f"{i},{j}")
+            for i, j in batch
+        ])
+        parts.append(counted.unpivot([], [f"{i},{j}" for i, j in batch], "_pair", "n_both"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    at = F.split("_pair", ",")
+    names = F.array(*[F.lit(c) for c in columns])
+    numbered = whole.select(at[0].cast("int").alias("i"), at[1].cast("int").alias("j"), "n_both")
+    return numbered.select("i", "j", names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), "n_both")
 
 
 def _pair_sums(df: DataFrame, columns: Sequence[str], means: np.ndarray) -> DataFrame:

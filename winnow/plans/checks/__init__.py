@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnow.plans.checks import cleaning, encoding, splitting
+from winnow.plans.checks import cleaning, encoding, importances, splitting
 
-AREAS = (cleaning, splitting, encoding)
+AREAS = (cleaning, splitting, encoding, importances)
 
 
 def all_queries() -> dict:

@@ -230,8 +230,9 @@ def corr_wide(spark, sf):
 
 
 @query("feature_pairs_self_join", f"""
-WITH k AS (SELECT unnest({NUMERIC}) AS name, unnest(range({len(NUMERIC)})) AS pos)
-SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, a.name AS feature_a, b.name AS feature_b FROM k a JOIN k b ON a.pos < b.pos""")
+WITH {ORDERS_SQL} {" UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, '{a}' AS feature_a, '{b}' AS feature_b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_both FROM m"
+    for i, a in enumerate(NUMERIC) for j, b in enumerate(NUMERIC) if i < j)}""")
 def feature_pairs(spark, sf):
     return R.feature_pairs_self_join(orders_matrix(spark, sf), NUMERIC)
 
@@ -264,17 +265,22 @@ def filter_extreme_missing(spark, sf):
     return rounded(found, "missing_share")
 
 
-@query("filter_exact_duplicates", """
-SELECT 'size_again' AS feature, 'p_size' AS same_as, 'x' AS mark FROM part HAVING count(*) > 0
-UNION ALL SELECT 'price_two', 'price_one', 'x' FROM part HAVING count(*) > 0""")
+_COPIES = ["p_size", "size_again", "price_one", "price_two", "price_zero", "p_brand"]
+
+
+@query("filter_exact_duplicates", f"""
+WITH v AS (SELECT p_size, p_size AS size_again, p_retailprice AS price_one, p_retailprice AS price_two,
+  CASE WHEN p_partkey > 0 THEN p_retailprice END AS price_zero, p_brand FROM part),
+c AS ({" UNION ALL ".join(
+    f"SELECT '{b}' AS feature, '{a}' AS same_as FROM v HAVING bool_and(CAST({a} AS VARCHAR) IS NOT DISTINCT FROM CAST({b} AS VARCHAR))"
+    for a in _COPIES for b in _COPIES if a < b)})
+SELECT feature, min(same_as) AS same_as FROM c GROUP BY 1""")
 def filter_exact_duplicates(spark, sf):
-    part = table(spark, sf, "part")
-    df = part.select(
+    df = table(spark, sf, "part").select(
         "p_partkey", "p_size", F.col("p_size").alias("size_again"), F.col("p_retailprice").alias("price_one"),
-        F.col("p_retailprice").alias("price_two"), F.when(F.col("p_partkey") > 0, F.col("p_retailprice")).alias("price_zero"),
-        "p_brand")
-    found = X.exact_duplicate_columns(df, [c for c in df.columns if c != "p_partkey"], "p_partkey")
-    return found.withColumn("mark", F.lit("x"))
+        F.col("p_retailprice").alias("price_two"),
+        F.when(F.col("p_partkey") > 0, F.col("p_retailprice")).alias("price_zero"), "p_brand")
+    return X.exact_duplicate_columns(df, _COPIES, "p_partkey")
 
 
 # --- ranking metrics ---------------------------------------------------------------------------
