@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnow.plans.checks import cleaning, encoding, importances, splitting
+from winnow.plans.checks import boosted, cleaning, encoding, importances, splitting
 
-AREAS = (cleaning, splitting, encoding, importances)
+AREAS = (cleaning, splitting, encoding, importances, boosted)
 
 
 def all_queries() -> dict:
