@@ -22,13 +22,14 @@ def slice_of(edges: Column, value: Column, slices: int = SLICES) -> Column:
     while step:
         steps.append(F.lit(step))
         step //= 2
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*steps),
         F.lit(0),
         lambda found, hop: F.when(
             F.coalesce(F.get(edges, found + hop - 1) <= value, F.lit(False)), found + hop
         ).otherwise(found),
     )
+    return F.coalesce(found, F.lit(0))  # never NULL, so that joins on it need no second evaluation
 
 
 def running_totals(
@@ -46,26 +47,22 @@ def running_totals(
     are bounded and broadcast.
     """
     group, totals = list(group), list(totals)
-    anchor = [] if group else [F.lit(0).alias("_all")]
-    if not group:
-        per_value, group = per_value.select("*", *anchor), ["_all"]
     # The condition holds for every row; it keeps the totals in the sketch's input, so that both
     # uses of per_value read one and the same shuffle.
     present = F.lit(True)
     for name in totals:
         present = present & (F.col(name) >= 0)
-    edges = per_value.groupBy(*group).agg(
-        F.percentile_approx(
-            F.when(present, F.col(order)), [i / slices for i in range(1, slices)], 8 * slices
-        ).alias("_edges")
-    )
-    sliced = (
-        per_value.join(F.broadcast(edges), group)
-        .withColumn("_slice", slice_of(F.col("_edges"), F.col(order), slices))
-        .drop("_edges")
-    )
+    sketch = F.percentile_approx(
+        F.when(present, F.col(order)), [i / slices for i in range(1, slices)], 8 * slices
+    ).alias("_edges")
+    if group:
+        with_edges = per_value.join(F.broadcast(per_value.groupBy(*group).agg(sketch)), group)
+    else:
+        with_edges = per_value.withColumn("_edges", per_value.agg(sketch).scalar())
+    sliced = with_edges.withColumn("_slice", slice_of(F.col("_edges"), F.col(order), slices)).drop("_edges")
     turn = F.desc if descending else F.asc
-    ahead = Window.partitionBy(*group).orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    # At most `slices` rows per group.
+    ahead = Window.partitionBy(*(group or [F.lit(1)])).orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*group, "_slice")
         .agg(*[F.sum(t).alias(t) for t in totals])
@@ -76,4 +73,4 @@ def running_totals(
         F.broadcast(offsets), [*group, "_slice"]
     )
     out = out.withColumns({f"cum_{t}": F.col(f"cum_{t}") + F.col(f"_ahead_{t}") for t in totals})
-    return out.drop("_slice", "_all", *[f"_ahead_{t}" for t in totals])
+    return out.drop("_slice", *[f"_ahead_{t}" for t in totals])

@@ -116,7 +116,10 @@ def gain_reindex(gains: DataFrame, features: DataFrame, value: str = "mean_gain"
 
 
 def gain_importance(models: Sequence[BoostedModel]) -> DataFrame:
-    """(feature, mean_gain): the average gain of a feature's splits, averaged over models."""
+    """(feature, mean_gain): the average gain of a feature's splits, averaged over models.
+
+    The gain of a split is the squared error it takes off: the stored decrease per row times the rows.
+    """
     spark = SparkSession.active()
     parts = []
     for model in models:
@@ -125,7 +128,7 @@ def gain_importance(models: Sequence[BoostedModel]) -> DataFrame:
             spark.read.parquet(model.nodes_path)
             .where(F.col("nodeData.leftChild") >= 0)
             .groupBy(names[F.col("nodeData.split.featureIndex")].alias("feature"))
-            .agg(F.avg("nodeData.gain").alias("mean_gain"))
+            .agg(F.avg(F.col("nodeData.gain") * F.col("nodeData.rawCount")).alias("mean_gain"))
         )
         listed = spark.createDataFrame([(c,) for c in model.features], "feature string")
         parts.append(gain_reindex(gains, listed))

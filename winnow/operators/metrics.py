@@ -27,13 +27,11 @@ def metrics_from_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     Average precision without any positive is 0.
     """
     group = list(group)
-    keys = group or ["_all"]
-    rows = counts if group else counts.withColumn("_all", F.lit(0))
-    ranked = running_totals(rows, keys, "score", ["n_pos", "n_rows"], descending=True)
+    ranked = running_totals(counts, group, "score", ["n_pos", "n_rows"], descending=True)
     gained = F.col("n_pos") * (F.col("cum_n_pos") / F.col("cum_n_rows"))
     negatives = F.col("n_rows") - F.col("n_pos")
     area = negatives * (F.col("cum_n_pos") - F.col("n_pos") / 2)
-    summed = ranked.groupBy(*keys).agg(
+    summed = ranked.groupBy(*group).agg(
         F.sum("n_pos").alias("n_pos"),
         F.sum("n_rows").alias("n_rows"),
         F.sum(gained).alias("_gained"),

@@ -24,6 +24,15 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str, ids: Sequence[str] =
     return cast.unpivot(list(ids), list(columns), "feature", "value")
 
 
+def _by_kind(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Columns by the type in which their values can share one long column without loss."""
+    kinds = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double"}
+    types, found = dict(df.dtypes), {}
+    for c in columns:
+        found.setdefault(kinds.get(types[c], "string"), []).append(c)
+    return found
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     counted = df.groupBy(F.col(label).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n_rows"))
     total = counted.agg(F.sum("n_rows")).scalar()
@@ -56,11 +65,19 @@ def column_summary(df: DataFrame, columns: Sequence[str] | None = None, approxim
         counts = nonnull_counts(df, columns).join(F.broadcast(distinct), "feature")
         rows = df.agg(F.count(F.lit(1))).scalar()
     else:
-        counts = value_counts(df, columns).groupBy("feature").agg(
-            F.count("value").alias("n_unique"),
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-            F.sum("n").alias("_rows"),
-        )
+        # Numbers stay numbers: a shuffled double or long is a third of its text.
+        parts = [
+            _long(df, found, kind).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("feature").agg(
+                F.count("value").alias("n_unique"),
+                F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+                F.sum("n").alias("_rows"),
+            )
+            for kind, found in _by_kind(df, columns).items()
+        ]
+        counts = parts[0]
+        for part in parts[1:]:
+            counts = counts.unionByName(part)
         rows = F.col("_rows")
     types = dict(df.dtypes)
     named = F.create_map(*[part for c in columns for part in (F.lit(c), F.lit(types[c]))])
