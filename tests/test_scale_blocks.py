@@ -132,9 +132,16 @@ def test_out_of_fold_value_ignores_own_fold_labels(spark, skewed):
 
 def test_large_mapping_takes_the_shuffle_path(skewed, monkeypatch):
     _, df = skewed
-    small = sorted(map(tuple, encoding.fit_encoder(df, ["cat"]).transform_training(df).collect()))
+    encoder = encoding.fit_encoder(df, ["cat"])
+
+    def encoded():
+        return [sorted(map(tuple, how(df).collect())) for how in (encoder.transform_training, encoder.transform)]
+
+    small = encoded()
     monkeypatch.setattr(encoding, "BROADCAST_ROWS", 0)
-    assert sorted(map(tuple, encoding.fit_encoder(df, ["cat"]).transform_training(df).collect())) == small
+    for hot in (1, 3, 10_000):  # no hot category, one, all of them
+        monkeypatch.setattr(encoding, "HOT_PART", hot)
+        assert encoded() == small
 
 
 def test_encoder_on_unseen_and_missing(spark):

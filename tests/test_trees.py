@@ -84,7 +84,9 @@ def test_shapley_values_by_definition(model):
 def test_prefixes_and_patience(data, model):
     curve = [r["pr_auc"] for r in B.prefix_metrics(data, model).orderBy("trees").collect()]
     assert len(curve) == 5
-    assert B.best_prefix(data, model, patience=10) == int(np.argmax(curve)) + 1
+    assert B.best_prefix(data, model, patience=10) == (int(np.argmax(curve)) + 1, False)
+    assert B.best_prefix(data, model, patience=1)[1] == any(
+        all(curve[t + 1] <= max(curve[: t + 1]) for t in [i]) for i in range(4))
     stopped = B.train_gbt(data, FEATURES, params=B.BoostParams(rounds=3, depth=2, patience=1), validation=data)
     assert 1 <= stopped.used <= 3 and stopped.ensemble.size == stopped.used
 

@@ -64,7 +64,7 @@ class HashCuts:
                 continue
             here = F.lit(True)
             for column, value in zip(self.group, group):
-                here = here & (F.col(column) == F.lit(value))
+                here = here & F.col(column).eqNullSafe(F.lit(value))
             mark = F.when(here, _at_or_below(self.key, F.lit(point[0]), F.lit(point[1]))).otherwise(mark)
         return mark
 

@@ -28,6 +28,8 @@ PARAMETER_NAMES = {
 }
 # --- end of fixed values ---
 
+FIRST_ROUNDS = 50  # trees of the first fit when a validation set may stop it early
+
 
 @dataclass(frozen=True)
 class BoostParams:
@@ -101,25 +103,34 @@ def train_gbt(
                   array_to_vector(feature_array(features, fills)).alias("features"))
         .repartition("_key").sortWithinPartitions("_key").persist(StorageLevel.MEMORY_AND_DISK)
     )
+    stops = validation is not None and bool(params.patience)
+    rounds = min(params.rounds, max(2 * params.patience, FIRST_ROUNDS)) if stops else params.rounds
     try:
-        learner = GBTClassifier(
-            maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step, maxBins=params.bins,
-            minInstancesPerNode=max(1, int(params.min_rows)), subsamplingRate=params.row_rate,
-            featureSubsetStrategy="all" if params.column_rate >= 1 else str(float(params.column_rate)),
-            seed=params.seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
-        )
-        fitted = learner.fit(rows)
+        while True:
+            model = _fit(rows, replace(params, rounds=rounds), tuple(features), fills, name)
+            if not stops:
+                return model
+            # Trees do not depend on how many follow, so a longer fit repeats and extends this one.
+            best, settled = best_prefix(validation, model, label, params.patience)
+            if settled or rounds >= params.rounds:
+                return replace(model, used=best)
+            rounds = min(params.rounds, 2 * rounds)
     finally:
         rows.unpersist()
-    path = scratch_path(df.sparkSession, "trees")
-    fitted.write().save(path)
-    model = BoostedModel(
-        tuple(features), fills, _read_trees(df.sparkSession, path, fitted.treeWeights), f"{path}/data",
-        len(fitted.treeWeights), name,
+
+
+def _fit(rows: DataFrame, params: BoostParams, features: tuple[str, ...], fills: tuple[float, ...], name: str) -> BoostedModel:
+    learner = GBTClassifier(
+        maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step, maxBins=params.bins,
+        minInstancesPerNode=max(1, int(params.min_rows)), subsamplingRate=params.row_rate,
+        featureSubsetStrategy="all" if params.column_rate >= 1 else str(float(params.column_rate)),
+        seed=params.seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
     )
-    if validation is None or not params.patience:
-        return model
-    return replace(model, used=best_prefix(validation, model, label, params.patience))
+    fitted = learner.fit(rows)
+    path = scratch_path(rows.sparkSession, "trees")
+    fitted.write().save(path)
+    trees = _read_trees(rows.sparkSession, path, fitted.treeWeights)
+    return BoostedModel(features, fills, trees, f"{path}/data", trees.size, name)
 
 
 def _read_trees(spark, path: str, weights) -> TreeEnsemble:
@@ -194,16 +205,17 @@ def prefix_metrics(df: DataFrame, model: BoostedModel, label: str = "label") ->
     return metrics_from_counts(counts, ["trees"])
 
 
-def best_prefix(df: DataFrame, model: BoostedModel, label: str = "label", patience: int = 50) -> int:
-    """Trees to use: the best average precision seen before ``patience`` trees bring no better one."""
+def best_prefix(df: DataFrame, model: BoostedModel, label: str = "label", patience: int = 50) -> tuple[int, bool]:
+    """Trees to use: the best average precision seen before ``patience`` trees bring no better one.
+    Also whether patience ran out, so that more trees could not change the answer."""
     curve = [r["pr_auc"] for r in prefix_metrics(df, model, label).orderBy("trees").collect()]  # one row per tree
     best = 0
     for t, value in enumerate(curve):
         if value > curve[best]:
             best = t
         elif t - best >= patience:
-            break
-    return best + 1
+            return best + 1, True
+    return best + 1, False
 
 
 def fs_ensemble(

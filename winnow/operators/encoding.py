@@ -15,6 +15,7 @@ from winnow.session import materialise
 
 MISSING = "__MISSING__"  # fixed value: the category that stands for NULL
 BROADCAST_ROWS = 100_000
+HOT_PART = 10_000  # keys with at least one row in so many are hot: there are at most that many of them
 
 
 @dataclass(frozen=True)
@@ -58,21 +59,38 @@ def category_stats(
 
 def lookup_encode(
     df: DataFrame, column: Column, mapping: DataFrame, value: str, name: str, default: Column,
-    rows: int | None = None, on: Sequence[str] = (), key: str = "category",
+    rows: int | None = None, on: Sequence[str] = (), key: str = "category", weight: str | None = None,
+    total: int = 0, spread: str | None = None,
 ) -> DataFrame:
     """``name`` = mapped value of ``column``, or ``default`` where the mapping has none.
 
-    ``rows`` is the counted size of the mapping: below the bound it is broadcast; above it, or if
-    unknown, Spark joins by shuffle and its adaptive execution splits hot keys.
+    ``rows`` is the counted size of the mapping: below the bound it is broadcast; above it Spark
+    joins by shuffle. If the mapping tells how many rows each key has (``weight``, out of
+    ``total``), the few keys with at least one row in ``HOT_PART`` are still broadcast, and their
+    rows are spread over the shuffle by the column ``spread`` instead of meeting in one task.
     """
-    side = mapping.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *[F.col(o).alias(f"_o_{o}") for o in on])
+    side = mapping.select(
+        F.col(key).alias("_k"), F.col(value).alias("_v"), *[F.col(o).alias(f"_o_{o}") for o in on],
+        *([F.col(weight).alias("_w")] if weight else []),
+    )
+
+    def joined(left: DataFrame, probe: Column, right: DataFrame) -> DataFrame:
+        same = probe == F.col("_k")
+        for o in on:
+            same = same & (F.col(o) == F.col(f"_o_{o}"))
+        return left.join(right.drop("_w"), same, "left").drop("_k", *[f"_o_{o}" for o in on])
+
     if rows is not None and rows <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    same = column == F.col("_k")
-    for o in on:
-        same = same & (F.col(o) == F.col(f"_o_{o}"))
-    joined = df.join(side, same, "left").withColumn(name, F.coalesce(F.col("_v"), default))
-    return joined.drop("_k", "_v", *[f"_o_{o}" for o in on])
+        found = joined(df, column, F.broadcast(side))
+    elif weight and total and spread:
+        hot = F.col("_w") * HOT_PART >= F.lit(total)
+        first = joined(df, column, F.broadcast(side.where(hot))).withColumnRenamed("_v", "_hot")
+        aside = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread), F.lit(HOT_PART)).cast("string"))
+        probe = F.when(F.col("_hot").isNull(), column).otherwise(aside)
+        found = joined(first, probe, side.where(~hot)).withColumn("_v", F.coalesce("_hot", "_v")).drop("_hot")
+    else:
+        found = joined(df, column, side)
+    return found.withColumn(name, F.coalesce(F.col("_v"), default)).drop("_v")
 
 
 def binary_categories(stats: DataFrame) -> DataFrame:
@@ -102,7 +120,7 @@ def target_mapping(stats: DataFrame, how: TargetEncoding, overall: Column) -> Da
     whole = _named_missing(stats).groupBy("feature", "category").agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_pos").alias("n_pos")
     )
-    return whole.withColumn("encoding", how.value(F.col("n_pos"), F.col("n_rows"), overall))
+    return whole.withColumns({"encoding": how.value(F.col("n_pos"), F.col("n_rows"), overall), "n_total": F.col("n_rows")})
 
 
 def out_of_fold_mapping(stats: DataFrame, how: TargetEncoding, overall: Column, fold: str = "fold") -> DataFrame:
@@ -117,6 +135,7 @@ def out_of_fold_mapping(stats: DataFrame, how: TargetEncoding, overall: Column,
     category = Window.partitionBy("feature", "category")
     rest = named.select(
         "feature", "category", fold,
+        F.sum("n_rows").over(category).alias("n_total"),
         (F.sum("n_rows").over(category) - F.col("n_rows")).alias("n_rows"),
         (F.sum("n_pos").over(category) - F.col("n_pos")).alias("n_pos"),
     )
@@ -145,6 +164,7 @@ class FeatureEncoder:
     missing: float
     label: str
     key: str
+    n_rows: int = 0
 
     def _plain(self, df: DataFrame) -> DataFrame:
         """Constants and two-valued columns: expressions, no lookup."""
@@ -159,7 +179,10 @@ class FeatureEncoder:
             mapping = target_mapping(self.stats, self.how, F.lit(self.global_mean))
             for column, size in self.target.items():
                 part = mapping.where(F.col("feature") == column)
-                out = lookup_encode(out, _as_category(column), part, "encoding", column, F.lit(self.global_mean), size)
+                out = lookup_encode(
+                    out, _as_category(column), part, "encoding", column, F.lit(self.global_mean), size,
+                    weight="n_total", total=self.n_rows, spread=self.key,
+                )
         return out.select(*df.columns)
 
     def transform_training(self, df: DataFrame) -> DataFrame:
@@ -172,7 +195,7 @@ class FeatureEncoder:
                 part = mapping.where(F.col("feature") == column)
                 out = lookup_encode(
                     out, _as_category(column), part, "encoding", column, F.lit(self.global_mean),
-                    size * self.how.folds, on=["_fold"],
+                    size * self.how.folds, on=["_fold"], weight="n_total", total=self.n_rows, spread=self.key,
                 )
         return out.select(*df.columns)
 
@@ -213,7 +236,8 @@ def fit_encoder(
     target = {c: found[c]["size"] for c in columns if found[c]["seen"] > 2}
     one = facts[0]
     return FeatureEncoder(
-        tuple(columns), constants, binary, target, one["n_pos"] / one["n_rows"], stats, how, missing, label, key
+        tuple(columns), constants, binary, target, one["n_pos"] / one["n_rows"], stats, how, missing, label, key,
+        one["n_rows"],
     )
 
 

@@ -41,42 +41,43 @@ def shapley_values(df: DataFrame, model: BoostedModel, key: str = "row_key") ->
     return slim.mapInArrow(explain, f"_key {kind}, phi array<double>, margin double").withColumnRenamed("_key", key)
 
 
+def _shared_shape(models: Sequence[BoostedModel]) -> BoostedModel:
+    if len({(m.features, m.fills) for m in models}) != 1:
+        raise ValueError("the models of an ensemble share their features")
+    return models[0]
+
+
 def shap_importance(df: DataFrame, models: Sequence[BoostedModel]) -> DataFrame:
-    """(model, feature, mean_abs_shap). Each task sends one sum per feature; rows never leave it."""
-    parts = []
-    for model in models:
-        width = len(model.features)
-        shared = df.sparkSession.sparkContext.broadcast(model.ensemble)
-
-        def totals(batches, shared=shared, width=width):
-            sums, rows = np.zeros(width), 0
-            for batch in batches:
-                x = _matrix(batch.column("_x"), width)
-                sums += np.abs(shared.value.shapley(x)).sum(axis=0)
-                rows += len(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(width, dtype=np.int32)), pa.array(sums), pa.array(np.full(width, rows))],
-                names=["i", "total", "n"],
-            )
+    """(model, feature, mean_abs_shap). The rows are read once for all models; each task sends one sum
+    per model and feature."""
+    first, count = _shared_shape(models), len(models)
+    width = len(first.features)
+    shared = df.sparkSession.sparkContext.broadcast([m.ensemble for m in models])
 
-        names = F.array(*[F.lit(c) for c in model.features])
-        sums = df.select(feature_array(model.features, model.fills)).mapInArrow(totals, "i int, total double, n bigint")
-        parts.append(
-            sums.groupBy("i").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select(
-                F.lit(model.name).alias("model"), names[F.col("i")].alias("feature"),
-                F.try_divide(F.col("total"), F.col("n").cast("double")).alias("mean_abs_shap"),
-            )
+    def totals(batches):
+        sums, rows = np.zeros((count, width)), 0
+        for batch in batches:
+            x = _matrix(batch.column("_x"), width)
+            for m, ensemble in enumerate(shared.value):
+                sums[m] += np.abs(ensemble.shapley(x)).sum(axis=0)
+            rows += len(x)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.arange(count, dtype=np.int32), width)),
+                pa.array(np.tile(np.arange(width, dtype=np.int32), count)),
+                pa.array(sums.ravel()),
+                pa.array(np.full(count * width, rows)),
+            ],
+            names=["m", "i", "total", "n"],
         )
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
 
-def shap_aggregate(per_model: DataFrame) -> DataFrame:
-    """Mean over models, largest first."""
-    mean = per_model.groupBy("feature").agg(F.avg("mean_abs_shap").alias("mean_abs_shap"))
-    return mean.orderBy(F.desc("mean_abs_shap"), "feature")
+    features = F.array(*[F.lit(c) for c in first.features])
+    labels = F.array(*[F.lit(m.name) for m in models])
+    sums = df.select(feature_array(first.features, first.fills)).mapInArrow(totals, "m int, i int, total double, n bigint")
+    return sums.groupBy("m", "i").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select(
+        labels[F.col("m")].alias("model"), features[F.col("i")].alias("feature"),
+        F.try_divide(F.col("total"), F.col("n").cast("double")).alias("mean_abs_shap"),
+    )
 
 
 def linear_importance(df: DataFrame, weights: Mapping[str, Mapping[str, float]], features: Sequence[str]) -> DataFrame:
@@ -103,6 +104,12 @@ def linear_importance(df: DataFrame, weights: Mapping[str, Mapping[str, float]],
     )
 
 
+def shap_aggregate(per_model: DataFrame) -> DataFrame:
+    """Mean over models, largest first."""
+    mean = per_model.groupBy("feature").agg(F.avg("mean_abs_shap").alias("mean_abs_shap"))
+    return mean.orderBy(F.desc("mean_abs_shap"), "feature")
+
+
 def topk_shap(shap: DataFrame, k: int) -> DataFrame:
     return shap.orderBy(F.desc("mean_abs_shap"), "feature").limit(k)
 
@@ -224,10 +231,8 @@ def tree_permutation_counts(
     The evaluation rows are shuffled once, by block; a task then holds one bounded block, shuffles each
     column in it, re-evaluates only the trees that use the column, and sends score counts.
     """
-    shape = {(m.features, m.fills) for m in models}
-    if len(shape) != 1:
-        raise ValueError("the models of an ensemble share their features")
-    width, names = len(models[0].features), list(models[0].features)
+    first = _shared_shape(models)
+    width, names = len(first.features), list(first.features)
     places = [(f, names.index(f)) for f in features]
     shared = df.sparkSession.sparkContext.broadcast([m.ensemble for m in models])
     labels = [m.name for m in models]
@@ -267,7 +272,7 @@ def tree_permutation_counts(
 
     slim = with_blocks(df, key, seed, rows_per_block).select(
         "block", F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"),
-        feature_array(models[0].features, models[0].fills),
+        feature_array(first.features, first.fills),
     )
     per_block = slim.groupBy("block").applyInArrow(
         shuffle_block, "model string, feature string, score double, n_pos bigint, n_rows bigint"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark import inheritable_thread_target
@@ -234,7 +234,11 @@ def run_experiment(
     With ``results_root`` the tables of the run are written to ``<root>/<dataset>/<time>``.
     """
     settings = merged(DEFAULTS, config)
-    data = dataset or load_dataset(spark, settings["dataset"], settings.get("dataset_path"))
+    data = dataset
+    if data is None:
+        # Loaders clean and deduplicate lazily; the many narrow passes that follow read one stored copy.
+        data = load_dataset(spark, settings["dataset"], settings.get("dataset_path"))
+        data = replace(data, frame=materialise(data.frame, "clean"))
     encoded = split_and_encode(data, settings)
     run = run_frontier if settings["fs_search"].get("mode") == "frontier" else run_profiles
     done = run(encoded, data.features, settings, data.label, data.row_key)
