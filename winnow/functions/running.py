@@ -12,24 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256  # a power of two: the search below halves it
+FAN = 16
+SLICES = FAN * FAN
 
 
-def slice_of(edges: Column, value: Column, slices: int = SLICES) -> Column:
-    """How many of the sorted ``edges`` are at or below ``value``: a binary search in one expression."""
-    steps = []
-    step = slices // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-    found = F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda found, hop: F.when(
-            F.coalesce(F.get(edges, found + hop - 1) <= value, F.lit(False)), found + hop
-        ).otherwise(found),
+def _count_upto(edges: Column, value: Column, start: Column, stride: int, low: int, high: int) -> Column:
+    """How many of the edges ``low..high-1`` (times stride, from start) are at or below ``value``."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    here = F.coalesce(F.get(edges, start + F.lit(middle * stride)) <= value, F.lit(False))
+    return F.when(here, _count_upto(edges, value, start, stride, middle + 1, high)).otherwise(
+        _count_upto(edges, value, start, stride, low, middle)
     )
-    return F.coalesce(found, F.lit(0))  # never NULL, so that joins on it need no second evaluation
+
+
+def with_slice(df: DataFrame, edges: str, value: str, name: str = "_slice") -> DataFrame:
+    """Add how many of the ``SLICES - 1`` sorted edges are at or below ``value``.
+
+    A two-step search of nested conditions, 16 ways each, which compiles; a lambda over the array
+    would be interpreted for every row.
+    """
+    coarse = _count_upto(F.col(edges), F.col(value), F.lit(FAN - 1), FAN, 0, FAN - 1)
+    fine = _count_upto(F.col(edges), F.col(value), F.col("_coarse") * FAN, 1, 0, FAN - 1)
+    return df.withColumn("_coarse", coarse).withColumn(name, F.col("_coarse") * FAN + fine).drop("_coarse")
 
 
 def running_totals(
@@ -38,7 +44,6 @@ def running_totals(
     order: str,
     totals: Sequence[str],
     descending: bool = False,
-    slices: int = SLICES,
 ) -> DataFrame:
     """Add ``cum_<t>`` for every total, running along ``order`` within ``group``.
 
@@ -47,25 +52,26 @@ def running_totals(
     are bounded and broadcast.
     """
     group, totals = list(group), list(totals)
-    # The condition holds for every row; it keeps the totals in the sketch's input, so that both
-    # uses of per_value read one and the same shuffle.
-    present = F.lit(True)
+    # The condition holds for every row. It keeps all columns in the input of the sketch and of the
+    # slice totals, so that these and the windows read the same two shuffles.
+    present = F.hash(order).cast("bigint") + F.lit(2**31) >= 0
     for name in totals:
         present = present & (F.col(name) >= 0)
     sketch = F.percentile_approx(
-        F.when(present, F.col(order)), [i / slices for i in range(1, slices)], 8 * slices
+        F.when(present, F.col(order)), [i / SLICES for i in range(1, SLICES)], 8 * SLICES
     ).alias("_edges")
     if group:
         with_edges = per_value.join(F.broadcast(per_value.groupBy(*group).agg(sketch)), group)
     else:
         with_edges = per_value.withColumn("_edges", per_value.agg(sketch).scalar())
-    sliced = with_edges.withColumn("_slice", slice_of(F.col("_edges"), F.col(order), slices)).drop("_edges")
+    # One placement by slice serves the totals and the windows.
+    sliced = with_slice(with_edges, "_edges", order).drop("_edges").repartition(*group, "_slice")
     turn = F.desc if descending else F.asc
-    # At most `slices` rows per group.
+    # At most SLICES rows per group.
     ahead = Window.partitionBy(*(group or [F.lit(1)])).orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*group, "_slice")
-        .agg(*[F.sum(t).alias(t) for t in totals])
+        .agg(*[F.sum(F.when(present, F.col(t))).alias(t) for t in totals])
         .select(*group, "_slice", *[F.coalesce(F.sum(t).over(ahead), F.lit(0)).alias(f"_ahead_{t}") for t in totals])
     )
     within = Window.partitionBy(*group, "_slice").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)

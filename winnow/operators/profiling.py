@@ -15,7 +15,7 @@ from winnow.functions.scalars import numeric_columns, ratio
 from winnow.operators.cleaning import COLUMN_BATCH
 
 # Up to this many pairs one wide aggregate is cheapest; beyond it matrix products per batch are.
-WIDE_PAIRS = 200
+WIDE_PAIRS = 6
 
 
 def _long(df: DataFrame, columns: Sequence[str], kind: str, ids: Sequence[str] = ()) -> DataFrame:

@@ -431,10 +431,11 @@ def set_models(spark, sf):
             for model, features in (("all_features", NUMERIC), ("fs_filtered", row["kept_features"])):
                 total = F.lit(0).cast("bigint")
                 for f in features:
-                    total = total + _points(f)
+                    total = total + F.col(f"_p_{f}")
                 cells.append(F.struct(F.lit(row["mode"]).alias("mode"), F.lit(model).alias("model"), total.alias("score")))
                 sizes.append((row["mode"], model, len(features)))
-        scored = split_orders(spark, sf).select("split", "label", F.explode(F.array(*cells)).alias("_c")).select("split", "label", "_c.*")
+        pointed = split_orders(spark, sf).withColumns({f"_p_{f}": _points(f) for f in NUMERIC})
+        scored = pointed.select("split", "label", F.explode(F.array(*cells)).alias("_c")).select("split", "label", "_c.*")
         long = rounded(M.metrics_by_split(scored, ["mode", "model"]), "pr_auc", "roc_auc", digits=9)
         counts = spark.createDataFrame(sizes, "mode string, model string, feature_count int")
         return T.metrics_table(long).join(counts, ["mode", "model"])

@@ -16,6 +16,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("winnow")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Megabytes, not terabytes: let small shuffles and files still fill all local cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
