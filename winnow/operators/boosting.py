@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -83,6 +84,24 @@ def feature_array(features: Sequence[str], fills: Sequence[float]) -> Column:
     return F.array(*cells).alias("_x")
 
 
+@contextmanager
+def training_rows(df: DataFrame, features: Sequence[str], label: str, key: str):
+    """(rows, fills): vectors in a fixed placement and order, held while fits that share them run.
+
+    Row sampling draws by position inside a partition, so the order makes a seed reproducible.
+    """
+    fills = missing_fills(df, features)
+    rows = (
+        df.select(F.col(label).cast("double").alias("label"), F.col(key).alias("_key"),
+                  array_to_vector(feature_array(features, fills)).alias("features"))
+        .repartition("_key").sortWithinPartitions("_key").persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        yield rows, fills
+    finally:
+        rows.unpersist()
+
+
 def train_gbt(
     df: DataFrame,
     features: Sequence[str],
@@ -94,29 +113,22 @@ def train_gbt(
 ) -> BoostedModel:
     """Fit on ``df``. With ``validation`` and ``params.patience`` the prefix of trees with the best
     average precision is used, looking no further than ``patience`` trees past the best so far."""
-    params = params or BoostParams()
-    features = list(features)
-    fills = missing_fills(df, features)
-    # Row sampling draws by position inside a partition: a fixed placement and order make a seed reproducible.
-    rows = (
-        df.select(F.col(label).cast("double").alias("label"), F.col(key).alias("_key"),
-                  array_to_vector(feature_array(features, fills)).alias("features"))
-        .repartition("_key").sortWithinPartitions("_key").persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    with training_rows(df, list(features), label, key) as (rows, fills):
+        return _fit_and_stop(rows, fills, tuple(features), label, params or BoostParams(), validation, name)
+
+
+def _fit_and_stop(rows, fills, features, label, params: BoostParams, validation: DataFrame | None, name: str) -> BoostedModel:
     stops = validation is not None and bool(params.patience)
     rounds = min(params.rounds, max(2 * params.patience, FIRST_ROUNDS)) if stops else params.rounds
-    try:
-        while True:
-            model = _fit(rows, replace(params, rounds=rounds), tuple(features), fills, name)
-            if not stops:
-                return model
-            # Trees do not depend on how many follow, so a longer fit repeats and extends this one.
-            best, settled = best_prefix(validation, model, label, params.patience)
-            if settled or rounds >= params.rounds:
-                return replace(model, used=best)
-            rounds = min(params.rounds, 2 * rounds)
-    finally:
-        rows.unpersist()
+    while True:
+        model = _fit(rows, replace(params, rounds=rounds), features, fills, name)
+        if not stops:
+            return model
+        # Trees do not depend on how many follow, so a longer fit repeats and extends this one.
+        best, settled = best_prefix(validation, model, label, params.patience)
+        if settled or rounds >= params.rounds:
+            return replace(model, used=best)
+        rounds = min(params.rounds, 2 * rounds)
 
 
 def _fit(rows: DataFrame, params: BoostParams, features: tuple[str, ...], fills: tuple[float, ...], name: str) -> BoostedModel:
@@ -226,14 +238,16 @@ def fs_ensemble(
     models: int = 3,
     params: BoostParams | None = None,
     validation: DataFrame | None = None,
-    parallel: int = 2,
+    parallel: int = 3,
 ) -> list[BoostedModel]:
-    """``models`` fits with seeds ``seed + 0, 1, ...``. Fits are independent, so a few run side by side
-    to fill the cluster while another one waits for its driver."""
+    """``models`` fits with seeds ``seed + 0, 1, ...`` on one held copy of the rows. Fits are
+    independent, so a few run side by side to fill the cluster while another waits for its driver."""
     params = params or BoostParams()
+    with training_rows(df, list(features), label, key) as (rows, fills):
 
-    def fit(m: int) -> BoostedModel:
-        return train_gbt(df, features, label, key, replace(params, seed=params.seed + m), validation, f"m{m}")
+        def fit(m: int) -> BoostedModel:
+            mine = replace(params, seed=params.seed + m)
+            return _fit_and_stop(rows, fills, tuple(features), label, mine, validation, f"m{m}")
 
-    with ThreadPoolExecutor(max(1, min(parallel, models))) as pool:
-        return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(models)))
+        with ThreadPoolExecutor(max(1, min(parallel, models))) as pool:
+            return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(models)))

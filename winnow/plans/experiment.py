@@ -89,6 +89,9 @@ def compute_artifacts(
         fit_rows = train
     ratio = (rules.get("fs_eval") or {}).get("neg_pos_ratio", 5)
     wanted = [key, label, *features]
+    if rules.get("fit_rows"):
+        # Importances need no more rows than this; the sample keeps the class ratio.
+        fit_rows = sampling.train_row_subsample(fit_rows, key, rules["fit_rows"], [label], seed)
     evaluation = materialise(sampling.fs_eval_sample(holdout.select(*wanted), label, key, ratio, seed), "fs-eval")
     boost = BoostParams.from_names({"early_stopping_rounds": FS_PATIENCE, **(params or {})}, seed=seed)
     models = fs_ensemble(fit_rows.select(*wanted), features, label, key, rules.get("n_fs_models", 3), boost, holdout)
