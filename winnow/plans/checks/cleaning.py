@@ -176,11 +176,11 @@ def leakage_meta(spark, sf):
     return filter_leakage_meta(table(spark, sf, "part"), ["p_name", "p_retailprice", "not_there"])
 
 
-@query("drop_high_missing", f"WITH {ORDERS_SQL} SELECT row_key, nation, sum_qty, rare FROM (SELECT *, CASE WHEN row_key % 49 = 0 THEN sum_price END AS rare FROM m)")
+@query("drop_high_missing", f"WITH {ORDERS_SQL} SELECT row_key, nation, sum_qty, rare FROM (SELECT *, CASE WHEN row_key % 20 = 0 THEN sum_price END AS rare FROM m)")
 def drop_high_missing(spark, sf):
     df = orders_matrix(spark, sf).select("row_key", "nation", "sum_qty", "sum_price", "void")
     rarer = F.when(F.col("row_key") % 1000 == 0, F.col("sum_price"))
-    df = df.withColumns({"rare": F.when(F.col("row_key") % 49 == 0, F.col("sum_price")), "rarer": rarer})
+    df = df.withColumns({"rare": F.when(F.col("row_key") % 20 == 0, F.col("sum_price")), "rarer": rarer})
     return C.drop_high_missing(df.drop("sum_price"))
 
 
