@@ -81,9 +81,13 @@ class TimeCuts:
 
 
 def _time_value(df: DataFrame, time: str):
+    """The time column as a plain number in the same order."""
     kind = df.schema[time].dataType.simpleString()
     if kind == "timestamp_ntz":
-        return F.unix_micros(F.to_utc_timestamp(F.col(time).cast("timestamp"), F.current_timezone()))
+        # Field by field: a cast through the session's time zone could fold or skip hours.
+        day = F.unix_date(F.col(time).cast("date")).cast("bigint")
+        micros = (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+        return ((day * 24 + F.hour(time)) * 60 + F.minute(time)) * 60_000_000 + micros
     if kind == "timestamp":
         return F.unix_micros(time)
     if kind == "date":

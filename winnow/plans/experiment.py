@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from winnow.operators import cleaning, encoding, importance, profiling, reports, sampling, search, selection, splitting
 from winnow.operators.boosting import BoostedModel, BoostParams, fs_ensemble, predict_score, train_gbt
 from winnow.operators.metrics import metrics_by_split
+from winnow.operators.prefilters import prefilter
 from winnow.plans.config import DEFAULTS, FINAL_PATIENCE, FS_PATIENCE, merged, mode_rules
 from winnow.session import materialise
 from winnow.sources.readers import scan_descriptions
@@ -76,17 +77,20 @@ def split_and_encode(dataset: Dataset, config: Mapping) -> DataFrame:
 
 def compute_artifacts(
     train: DataFrame, features: Sequence[str], rules: Mapping, label: str = "label", key: str = "row_key",
-    params: Mapping | None = None, seed: int = 42, holdout: DataFrame | None = None,
+    params: Mapping | None = None, seed: int = 42,
 ) -> DataFrame:
-    """The importance table of one rule set's measuring part (holdout, models, evaluation sample, top k)."""
+    """The importance table of one rule set's measuring part (holdout, models, evaluation sample, top k).
+
+    The holdout is stratified random, or the latest rows where the rules name a ``holdout_time_column``.
+    """
     if not features:
         raise ValueError("there are no features to select from")
-    seed = rules.get("random_state", seed)
-    if holdout is None:
-        marked = splitting.inner_holdout_split(train, label, key, rules.get("holdout_fraction", 0.25), seed)
-        fit_rows, holdout = marked.where(~F.col("is_holdout")), marked.where("is_holdout")
+    seed, share = rules.get("random_state", seed), rules.get("holdout_fraction", 0.25)
+    if rules.get("holdout_time_column"):
+        marked = splitting.time_inner_split(train, rules["holdout_time_column"], share)
     else:
-        fit_rows = train
+        marked = splitting.inner_holdout_split(train, label, key, share, seed)
+    fit_rows, holdout = marked.where(~F.col("is_holdout")), marked.where("is_holdout")
     ratio = (rules.get("fs_eval") or {}).get("neg_pos_ratio", 5)
     wanted = [key, label, *features]
     if rules.get("fit_rows"):
@@ -243,8 +247,13 @@ def run_experiment(
         data = load_dataset(spark, settings["dataset"], settings.get("dataset_path"))
         data = replace(data, frame=materialise(data.frame, "clean"))
     encoded = split_and_encode(data, settings)
+    features = data.features
+    if settings.get("prefilter"):
+        # Static filters see TRAIN only; encoded columns stand for their originals.
+        features = prefilter(
+            encoded.where("split = 'train'"), features, data.row_key, **{k: v for k, v in settings["prefilter"].items() if k != "enabled"})
     run = run_frontier if settings["fs_search"].get("mode") == "frontier" else run_profiles
-    done = run(encoded, data.features, settings, data.label, data.row_key)
+    done = run(encoded, features, settings, data.label, data.row_key)
     paths = [p for p in [
         (settings.get("reporting") or {}).get("feature_description_path"),
         f"{settings['dataset_path'].rstrip('/')}/variable_descriptions.csv" if settings.get("dataset_path") else None,
