@@ -9,12 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.ordering import HashCuts
 from winnow.operators.cleaning import select_categorical
-from winnow.operators.splitting import stratified_kfold
+from winnow.operators.splitting import fold_cuts, with_folds
 from winnow.session import materialise
 
 MISSING = "__MISSING__"  # fixed value: the category that stands for NULL
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 250_000
 HOT_PART = 10_000  # keys with at least one row in so many are hot: there are at most that many of them
 
 
@@ -165,6 +166,7 @@ class FeatureEncoder:
     label: str
     key: str
     n_rows: int = 0
+    cuts: HashCuts | None = None
 
     def _plain(self, df: DataFrame) -> DataFrame:
         """Constants and two-valued columns: expressions, no lookup."""
@@ -189,7 +191,7 @@ class FeatureEncoder:
         """Encode the training rows out of fold."""
         out = self._plain(df)
         if self.target:
-            out = stratified_kfold(out, self.label, self.key, self.how.folds, self.how.seed, "_fold")
+            out = with_folds(out, self.cuts, self.how.folds, "_fold")
             mapping = out_of_fold_mapping(self.stats, self.how, F.lit(self.global_mean), "_fold")
             for column, size in self.target.items():
                 part = mapping.where(F.col("feature") == column)
@@ -214,7 +216,8 @@ def fit_encoder(
     columns = [c for c in select_categorical(train, columns) if c not in (label, key)]
     if not columns:
         return FeatureEncoder((), {}, {}, {}, 0.0, None, how, missing, label, key)
-    folded = stratified_kfold(train, label, key, how.folds, how.seed, "_fold")
+    cuts = fold_cuts(train, label, key, how.folds, how.seed)
+    folded = with_folds(train, cuts, how.folds, "_fold")
     stats = materialise(category_stats(folded, columns, label, ["_fold"]), "category-stats")
     facts = (
         stats.groupBy("feature", "category")
@@ -237,7 +240,7 @@ def fit_encoder(
     one = facts[0]
     return FeatureEncoder(
         tuple(columns), constants, binary, target, one["n_pos"] / one["n_rows"], stats, how, missing, label, key,
-        one["n_rows"],
+        one["n_rows"], cuts,
     )
 
 

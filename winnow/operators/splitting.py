@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.ordering import hash_cuts, share_out
+from winnow.functions.ordering import HashCuts, hash_cuts, share_out
 from winnow.functions.running import running_totals
 from winnow.functions.selecting import kth_smallest
 
@@ -50,24 +50,32 @@ def inner_holdout_split(
     return hash_cuts(df, [label], key, f"holdout-{seed}", quotas).mark(df, ["is_holdout"])
 
 
-def stratified_kfold(
-    df: DataFrame, label: str = "label", key: str = "row_key", folds: int = 5, seed: int = 42, name: str = "fold"
-) -> DataFrame:
-    """Shuffled stratified folds 0..k-1: fold ``i`` is the ``i``-th of ``k`` equal stretches of the
-    random order within a class, so fold sizes of a class differ by at most one."""
+def fold_cuts(df: DataFrame, label: str = "label", key: str = "row_key", folds: int = 5, seed: int = 42) -> HashCuts:
+    """Where the folds of each class end in its random order; may be kept and used again."""
     if folds < 2:
         raise ValueError("at least 2 folds are required")
-    ends = [f"_end{i}" for i in range(1, folds)]
-    cuts = hash_cuts(
+    return hash_cuts(
         df, [label], key, f"fold-{seed}",
-        lambda sizes: {g: {e: n * i // folds for i, e in enumerate(ends, start=1)} for g, n in sizes.items()},
+        lambda sizes: {g: {f"_end{i}": n * i // folds for i in range(1, folds)} for g, n in sizes.items()},
     )
+
+
+def with_folds(df: DataFrame, cuts: HashCuts, folds: int, name: str = "fold") -> DataFrame:
+    ends = [f"_end{i}" for i in range(1, folds)]
     fold = F.lit(0)
     for end in ends:
         fold = fold + (~F.col(end)).cast("int")
     return cuts.mark(df, ends).withColumn(name, fold).drop(*ends)
 
 
+def stratified_kfold(
+    df: DataFrame, label: str = "label", key: str = "row_key", folds: int = 5, seed: int = 42, name: str = "fold"
+) -> DataFrame:
+    """Shuffled stratified folds 0..k-1: fold ``i`` is the ``i``-th of ``k`` equal stretches of the
+    random order within a class, so fold sizes of a class differ by at most one."""
+    return with_folds(df, fold_cuts(df, label, key, folds, seed), folds, name)
+
+
 @dataclass(frozen=True)
 class TimeCuts:
     """Where a chronological split cuts. All values are plain numbers, fixed once found."""
