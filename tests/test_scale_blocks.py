@@ -103,6 +103,10 @@ def test_running_totals_and_metrics_under_skew(spark, skewed):
     assert got["pr_auc"] == pytest.approx(ap / positives)
     pairs = sum((p > n) + 0.5 * (p == n) for p, y in mine if y for n, z in mine if not z)
     assert got["roc_auc"] == pytest.approx(pairs / positives / (len(mine) - positives))
+    def numbers(**how):
+        return {r["cat"]: (r["n_pos"], round(r["pr_auc"], 9)) for r in metrics.ranking_metrics(df, ["cat"], **how).collect()}
+
+    assert numbers() == numbers(few_groups=False)
     per = df.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     cumulative = {r["t"]: r["cum_n"] for r in running_totals(per, [], "t", ["n"]).collect()}
     assert all(cumulative[t] == sum(1 for r in rows if r[2] <= t) for t in cumulative)

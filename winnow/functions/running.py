@@ -44,14 +44,17 @@ def running_totals(
     order: str,
     totals: Sequence[str],
     descending: bool = False,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Add ``cum_<t>`` for every total, running along ``order`` within ``group``.
 
     ``per_value`` has one row per (group, order value). Groups are features, models or splits:
     their number is set by the configuration, so the edges (2 kB per group) and the slice totals
-    are bounded and broadcast.
+    are bounded and broadcast. Where groups come from the data and may be many, pass
+    ``few_groups=False``: Spark then joins by the sizes it meets.
     """
     group, totals = list(group), list(totals)
+    side = F.broadcast if few_groups else (lambda frame: frame)
     # The condition holds for every row. It keeps all columns in the input of the sketch and of the
     # slice totals, so that these and the windows read the same two shuffles.
     present = F.hash(order).cast("bigint") + F.lit(2**31) >= 0
@@ -61,7 +64,7 @@ def running_totals(
         F.when(present, F.col(order)), [i / SLICES for i in range(1, SLICES)], 8 * SLICES
     ).alias("_edges")
     if group:
-        with_edges = per_value.join(F.broadcast(per_value.groupBy(*group).agg(sketch)), group)
+        with_edges = per_value.join(side(per_value.groupBy(*group).agg(sketch)), group)
     else:
         with_edges = per_value.withColumn("_edges", per_value.agg(sketch).scalar())
     # One placement by slice serves the totals and the windows.
@@ -76,7 +79,7 @@ def running_totals(
     )
     within = Window.partitionBy(*group, "_slice").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = sliced.withColumns({f"cum_{t}": F.sum(t).over(within) for t in totals}).join(
-        F.broadcast(offsets), [*group, "_slice"]
+        side(offsets), [*group, "_slice"]
     )
     out = out.withColumns({f"cum_{t}": F.col(f"cum_{t}") + F.col(f"_ahead_{t}") for t in totals})
     return out.drop("_slice", *[f"_ahead_{t}" for t in totals])

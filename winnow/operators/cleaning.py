@@ -69,6 +69,9 @@ def one_vs_rest_target(column: str, focal: str | int) -> Column:
 
 def target_map_valid(df: DataFrame, column: str, codes: Mapping[float, int], name: str = "label") -> DataFrame:
     """Keep rows with a known code and map it; the filter reaches the scan."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        # Compared as doubles, whole-number columns could not be filtered in the scan.
+        codes = {int(code): value for code, value in codes.items() if code == int(code)}
     mapped = F.lit(None).cast("int")
     for code, value in codes.items():
         mapped = F.when(F.col(column) == F.lit(code), F.lit(value)).otherwise(mapped)

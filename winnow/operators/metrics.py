@@ -21,13 +21,14 @@ def score_counts(df: DataFrame, group: Sequence[str], label: str = "label", scor
     )
 
 
-def metrics_from_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+def metrics_from_counts(counts: DataFrame, group: Sequence[str], few_groups: bool = True) -> DataFrame:
     """pr_auc (average precision: tied scores are one threshold) and roc_auc (NULL for a single class).
 
-    Average precision without any positive is 0.
+    Average precision without any positive is 0. Groups are models, splits and the like; for groups
+    that grow with the data see ``few_groups`` of :func:`winnow.functions.running.running_totals`.
     """
     group = list(group)
-    ranked = running_totals(counts, group, "score", ["n_pos", "n_rows"], descending=True)
+    ranked = running_totals(counts, group, "score", ["n_pos", "n_rows"], descending=True, few_groups=few_groups)
     gained = F.col("n_pos") * (F.col("cum_n_pos") / F.col("cum_n_rows"))
     negatives = F.col("n_rows") - F.col("n_pos")
     area = negatives * (F.col("cum_n_pos") - F.col("n_pos") / 2)
@@ -48,9 +49,9 @@ def metrics_from_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def ranking_metrics(
-    df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score"
+    df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score", few_groups: bool = True
 ) -> DataFrame:
-    return metrics_from_counts(score_counts(df, list(group), label, score), group)
+    return metrics_from_counts(score_counts(df, list(group), label, score), group, few_groups)
 
 
 def average_precision(df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
