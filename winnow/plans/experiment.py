@@ -109,7 +109,7 @@ def compute_artifacts(
 
 def train_eval_sets(
     df: DataFrame, sets: Mapping[str, Sequence[str]], label: str = "label", key: str = "row_key",
-    params: Mapping | None = None, seed: int = 42, parallel: int = 2,
+    params: Mapping | None = None, seed: int = 42, parallel: int = 3,
 ) -> tuple[DataFrame, dict[str, BoostedModel]]:
     """Fit one model per feature set on ``train`` (stopped on ``val``); (set, split, pr_auc, roc_auc, ...) of all
     of them from one scoring job."""
