@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from winnow.llm import workers
 
-MAX_STATES = 200_000
-MAX_FITS = 500_000
-MAX_WORDS = 400_000
+MAX_STATES = 150_000
+MAX_FITS = 300_000
+MAX_WORDS = 200_000
 LONG_WORD = 64
 PIECE_TOKENS = 1 << 16
 #: The pattern of the public byte-level vocabularies (fixed value); others are matched over whole texts.
@@ -259,6 +259,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """Documents with the ids of their texts."""
+    workers.small_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(ranks), workers.token()
 
     @F.pandas_udf("array<int>")
@@ -271,6 +272,7 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
 
 def with_text(ids: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
     """Rows with the text that their ids stand for."""
+    workers.small_batches(ids.sparkSession)
     shared, name = ids.sparkSession.sparkContext.broadcast(ranks), workers.token()
 
     @F.pandas_udf("string")
@@ -283,6 +285,7 @@ def with_text(ids: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: st
 
 def round_trips(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document: n_tokens, ids_sha256, decoded_sha256. Ids stay in the worker; only digests leave it."""
+    workers.small_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(ranks), workers.token()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -303,6 +306,7 @@ def round_trips(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document: doc_id, ids, n_tokens, and whether decoding the ids gives the text again (null counts as empty)."""
+    workers.small_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(ranks), workers.token()
 
     @F.pandas_udf("ids array<int>, n_tokens long, round_trip boolean")

@@ -102,6 +102,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: st
          item_text_col: str = "text", into: str = "hits") -> DataFrame:
     """Documents with a struct ``into``: n_words, hit words with their byte spans in the original text, and items."""
     spark = docs.sparkSession
+    workers.small_batches(spark)
     parts = []
     for number, block in enumerate(blocks(benchmark, item_col, item_text_col, width)):
         scanned = _scanner(spark.sparkContext.broadcast(block), workers.token())

@@ -79,6 +79,7 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(labelled: DataFrame, length: int = LENGTH) -> dict[str, list[str]]:
     """Profiles from (lang, text) rows."""
+    workers.small_batches(labelled.sparkSession)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     sums = rows.mapInPandas(_partial, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -115,6 +116,7 @@ class Judge:
 
 def predict(docs: DataFrame, profiles: dict[str, list[str]], length: int = LENGTH, text_col: str = "text", into: str = "language") -> DataFrame:
     """Documents with a struct ``into``: lang_pred, score."""
+    workers.small_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(profiles), workers.token()
 
     @F.pandas_udf("lang_pred string, score double")

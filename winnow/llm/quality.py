@@ -153,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
 
 def with_score(docs: DataFrame, net: Network, text_col: str = "text", into: str = "score") -> DataFrame:
     """Documents with the probability of label 1, from their whole texts."""
+    workers.small_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(net.parameters()), workers.token()
 
     def built() -> Network:

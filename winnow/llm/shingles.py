@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MAX_WORDS = 400_000
+_MAX_WORDS = 200_000
 _U64 = np.uint64
 
 

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm import workers
 from winnow.llm.shingles import hashed, mixed, runs, words_of
 from winnow.session import materialise
 
@@ -83,6 +84,7 @@ def unpacked(data: bytes) -> str:
 
 def duplicate_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(t, spans): per text with duplicates, its duplicate windows as first * 64 + number of windows."""
+    workers.small_batches(docs.sparkSession)
     table = index(docs, text_col, width, seed)
     blocks = table.select("rid", F.explode(F.arrays_zip("spans", "anchors", "marks")).alias("b")).select(
         "rid", F.col("b.spans").alias("span"), F.col("b.anchors").alias("s"), F.col("b.marks").alias("f"))
@@ -97,18 +99,21 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     asked = kinds.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.span").alias("span"), "s")).alias("asked"))
 
     # One block of every kind shows its windows; those that another kind has as well are duplicates.
-    @F.pandas_udf("array<struct<w:long,s:long,span:long>>")
-    def shown(data: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("w array<long>, s array<long>, span array<long>")
+    def shown(data: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        rows = []
         for z, wanted in zip(data, lists):
             windows = runs(hashed(words_of(unpacked(z), lower=False)), width).view(np.int64)
-            out.append([{"w": int(windows[at]), "s": int(b["s"]), "span": int(at * _SPAN + 1)}
-                        for b in wanted for at in range(b["span"] // _SPAN, b["span"] // _SPAN + b["span"] % _SPAN)])
-        return pd.Series(out, dtype=object)
+            spans = np.array([b["span"] for b in wanted], dtype=np.int64)
+            count = spans % _SPAN
+            at = np.repeat(spans // _SPAN - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            rows.append((windows[at], np.repeat(np.array([b["s"] for b in wanted], dtype=np.int64), count), at * _SPAN + 1))
+        return pd.DataFrame(rows, columns=["w", "s", "span"])
 
     texts = packed(docs.select(F.col(text_col).alias("_text")), "_text")
     wanted = asked.join(table.select("rid", F.col("t").alias("_t")), "rid")
-    rows = texts.join(wanted, "_t").select("rid", F.explode(shown.asNondeterministic()("_z", "asked")).alias("x")).select("rid", "x.*")
+    rows = texts.join(wanted, "_t").select("rid", shown.asNondeterministic()("_z", "asked").alias("d"))
+    rows = rows.select("rid", F.explode(F.arrays_zip("d.w", "d.s", "d.span")).alias("x")).select("rid", "x.*")
     rows = materialise(rows.dropDuplicates(["rid", "span"]), "windows")
     twice = rows.groupBy("s", "w").agg(F.count("*").alias("n")).where("n > 1").select("s", "w")
     single = rows.join(twice, ["s", "w"], "left_semi").select("rid", "span")

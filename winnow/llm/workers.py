@@ -20,3 +20,10 @@ def once(name: str, build: Callable[[], Any]) -> Any:
             _kept.clear()
         _kept[name] = build()
     return _kept[name]
+
+
+def small_batches(spark, rows: int = 512) -> None:
+    """Fewer rows of long texts at a time in a Python worker, unless the session asks for something else than Spark's default."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(rows))

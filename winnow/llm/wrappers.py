@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm import workers
 from winnow.llm.html_trees import INLINE, Node, parse
 from winnow.session import materialise
 
@@ -237,6 +238,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
+    workers.small_batches(pages.sparkSession)
     wrappers = materialise(infer(pages, url_col, html_col), "wrappers")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
 
