@@ -89,6 +89,7 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     blocks = table.select("rid", F.explode(F.arrays_zip("spans", "anchors", "marks")).alias("b")).select(
         "rid", F.col("b.spans").alias("span"), F.col("b.anchors").alias("s"), F.col("b.marks").alias("f"))
     shared = blocks.groupBy("s").agg(F.count("*").alias("n"), (F.min("f") == F.max("f")).alias("alike")).where("n > 1").select("s", "alike")
+    shared = materialise(shared, "anchors")  # a plain table, so that Spark can split the join at hot anchors
     known = materialise(blocks.join(shared, "s"), "shared")
 
     # Anchors with several kinds of blocks: kinds met twice match whole, the others are boundaries.
