@@ -25,6 +25,8 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name
 _P, _AROUND_P = {"p"}, CLOSES_P - {"p"} | {"button", "td", "th"}
 #: Elements of drawings, which a slash closes.
 FOREIGN = set("path circle rect line polyline polygon ellipse use g svg stop".split())
+#: Elements deeper than this stand beside each other instead, as in browsers; no text is lost by that.
+DEEPEST = 200
 _DIGITS = re.compile(r"\d+")
 
 
@@ -77,7 +79,7 @@ def parse(page: str | None) -> Node:
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-        elif name not in VOID and not (rest.endswith("/>") and name in FOREIGN):
+        elif name not in VOID and not (rest.endswith("/>") and name in FOREIGN) and len(stack) < DEEPEST:
             stack.append(node)
 
 
