@@ -91,9 +91,12 @@ def test_extraction(spark):
     made = [(i, f"http://h.org/{i}", h, "x") for i, h in enumerate(htmls)]
     made += [(20, None, None, "x"), (21, "http://h.org/0", "", None), (22, "nohost", "<p>a<p>b &lt;i&gt;", None), (23, "http://deep/", "<div>" * 3_000 + "deep", None)]
     pages = spark.createDataFrame(made, "page_id long, url string, html string, text string")
+    made += [(30 + i, f"https://plain.org/{i}", f"<div>Our site</div><div><p>Story {i} tells this</p></div><div><a href=x>more stories</a></div>", None) for i in range(9)]
+    pages = spark.createDataFrame(made, pages.schema)
     found = {r["page_id"]: (r["text"], r["n_chars"]) for r in wrappers.extract(pages).collect()}
     for i in range(9):
         assert found[i][0] == f"T{i} One & two{i} x Café end"
+    assert [found[30 + i][0] for i in range(9)] == [f"Story {i} tells this" for i in range(9)]
     assert found[20] == ("", 0) and found[21] == ("", 0) and found[22][0] == "a b <i>" and found[23][0] == "deep"
     assert wrappers.extract(pages.limit(0)).count() == 0
 

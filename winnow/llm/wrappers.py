@@ -9,9 +9,9 @@ Wrappers align with wrappers just as with pages, so tasks infer one per host fro
 are aligned in two steps. No task holds the pages of a host. A wrapper's size follows the templates, not the pages.
 
 Extraction walks a page along its host's wrapper. The main part is ``article``, else ``main`` (by tag or role), else the page's body; inside it,
-elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments and the like by name are left out, and so are
-constants of a wrapper inferred from at least ``TRUSTED`` different pages, if that wrapper has slots in the main part at all.
-On pages without ``article`` and ``main``, blocks that are mostly links are left out too.
+elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments and the like by name are left out. On pages
+without ``article`` and ``main`` the wrapper tells the template from the text: constants of a wrapper inferred from at least ``TRUSTED`` pages are left
+out, if it has slots in the body at all, and so are blocks that are mostly links.
 
 Defined cases: null or empty html gives an empty text; a page without host shares one wrapper with all such pages; repeated
 pages change nothing; unclosed and stray tags are repaired; character references are decoded once.
@@ -149,7 +149,7 @@ class Extractor:
                 if whole and (want or 2 * linked <= len(whole)):
                     out.append(whole)
                 block, linked = [], 0
-            elif not (constant and varying and self.trusted):
+            elif want or not (constant and varying and self.trusted):
                 block.append(text)
                 linked += len(text.strip()) if link else 0
         return out
