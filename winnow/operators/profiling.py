@@ -14,7 +14,8 @@ from winnow.functions.running import running_totals
 from winnow.functions.scalars import numeric_columns, ratio
 from winnow.operators.cleaning import COLUMN_BATCH
 
-# Up to this many pairs one wide aggregate is cheapest; beyond it matrix products per batch are.
+# Up to this many pairs one wide aggregate is cheapest; beyond it matrix products per batch are. Both give
+# the same pairs: a column counts as constant where its smallest and largest value are one.
 WIDE_PAIRS = 6
 
 
@@ -131,10 +132,11 @@ def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None, approx
 
 
 def _pearson(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson correlation; NULL where a side is constant."""
+    """Pairwise-complete Pearson correlation; NULL where a side is constant on the rows that know both."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)))
 
 
 def corr_with_target(
@@ -182,6 +184,7 @@ def _pair_sums(df: DataFrame, columns: Sequence[str], means: np.ndarray) -> Data
 
     def products(batches):
         total = np.zeros((6, len(left)))
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
         for batch in batches:
             values = batch.to_numpy(dtype=float)
             known = ~np.isnan(values)
@@ -192,15 +195,22 @@ def _pair_sums(df: DataFrame, columns: Sequence[str], means: np.ndarray) -> Data
                 (mask.T @ mask)[left, right], one[left, right], one[right, left],
                 two[left, right], two[right, left], (centred.T @ centred)[left, right],
             ])
-        yield pd.DataFrame({"i": left, "j": right, **{s: total[k] for k, s in enumerate(_SUMS)}})
-
-    fields = ", ".join(f"{s} double" for s in _SUMS)
+            for other in range(width):  # of every column, on the rows that know ``other`` too
+                rows = values[known[:, other]]
+                low[:, other] = np.fmin(low[:, other], np.fmin.reduce(rows, axis=0, initial=np.inf))
+                high[:, other] = np.fmax(high[:, other], np.fmax.reduce(rows, axis=0, initial=-np.inf))
+        edges = {"xlow": low[left, right], "xhigh": high[left, right], "ylow": low[right, left], "yhigh": high[right, left]}
+        yield pd.DataFrame({"i": left, "j": right, **{s: total[k] for k, s in enumerate(_SUMS)}, **edges})
+
+    fields = ", ".join(f"{s} double" for s in (*_SUMS, *_EDGES))
     narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     sums = narrow.mapInPandas(products, f"i long, j long, {fields}")
-    return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    edges = [(F.min if s.endswith("low") else F.max)(s).alias(s) for s in _EDGES]
+    return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS], *edges)
 
 
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_EDGES = ("xlow", "xhigh", "ylow", "yhigh")
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, wide_pairs: int = WIDE_PAIRS) -> DataFrame:
@@ -225,7 +235,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, wide_pairs
             * F.greatest(F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"), F.lit(0.0))
         )
         names = F.array(*[F.lit(c) for c in columns])
-        out = sums.where(F.col("n") > 1).select(
+        out = sums.where("n > 1 AND xlow < xhigh AND ylow < yhigh").select(
             names[F.col("i").cast("int")].alias("feature_a"),
             names[F.col("j").cast("int")].alias("feature_b"),
             F.try_divide(covariance, spread).alias("corr"),

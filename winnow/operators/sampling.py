@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.ordering import hash_cuts
+from winnow.functions.ordering import hash_cuts, share_out
 from winnow.functions.selecting import kth_smallest
 
 
@@ -73,11 +73,16 @@ def head_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 def train_row_subsample(
     df: DataFrame, key: str = "row_key", rows: int = 100_000, strata: Sequence[str] = (), seed: int = 42
 ) -> DataFrame:
-    """``rows`` random rows; with ``strata`` (time buckets, say) each stratum gives its proportional,
-    rounded-down part. The number of strata must be small."""
+    """``rows`` random rows, all if there are fewer; with ``strata`` (time buckets, say) each stratum gives its
+    proportional part by largest remainder, and at least one row while ``rows`` covers the strata.
+    The number of strata must be small."""
     def quotas(sizes):
-        whole = sum(sizes.values())
-        return {g: {"_take": min(n, n * rows // whole)} for g, n in sizes.items()}
+        parts = share_out(min(rows, sum(sizes.values())), sizes)
+        for lost in sorted(g for g, n in parts.items() if n == 0):
+            rich = max(parts, key=lambda g: (parts[g], g))
+            if parts[rich] > 1:
+                parts[rich], parts[lost] = parts[rich] - 1, 1
+        return {g: {"_take": n} for g, n in parts.items()}
 
     cuts = hash_cuts(df, list(strata), key, f"rows-{seed}", quotas)
     return cuts.mark(df, ["_take"]).where("_take").drop("_take")

@@ -50,7 +50,7 @@ def scan_csv_fixed(spark, sf):
 
 @query("scan_parquet", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size > 20")
 def scan_parquet(spark, sf):
-    return readers.scan_any(spark, f"{sf}/part.parquet").where("p_size > 20").select("p_partkey", "p_name", "p_retailprice")
+    return readers.scan_any(spark, f"{sf}/part.parquet", F.col("p_size") > 20).select("p_partkey", "p_name", "p_retailprice")
 
 
 @query("scan_label_text", """
@@ -111,7 +111,7 @@ def dataset_registry(spark, sf):
     name = "documents_toxic"
     if name not in registry.list_datasets():
         registry.register_dataset(registry.DatasetEntry(
-            name, lambda s, p: registry.Dataset(labels_matrix(s, p)), sf, "labelled documents", "toxic"))
+            name=name, loader=lambda s, p: registry.Dataset(labels_matrix(s, p)), default_path=sf, description="labelled documents", target="toxic"))
     registry.load_dataset(spark, name, sf, view="documents_toxic")
     return spark.table("documents_toxic").select("row_key", "label", "lang", "n_chars")
 

@@ -107,7 +107,10 @@ def head_sample(spark, sf):
 
 @query("train_row_subsample", f"""
 WITH {ORDERS_SQL}, y AS (SELECT *, CAST(year(order_ts) AS INTEGER) AS bucket FROM m), {ranked_sql("y", "rows-42", by="bucket")}
-SELECT row_key, bucket FROM r WHERE rk <= n_class * 5000 // n_all""")
+sizes AS (SELECT bucket, any_value(n_class) AS n, least(5000, any_value(n_all)) AS wanted, any_value(n_all) AS whole FROM r GROUP BY bucket),
+turns AS (SELECT bucket, n * wanted // whole AS part, row_number() OVER (ORDER BY n * wanted % whole DESC, bucket) AS turn,
+                 wanted - sum(n * wanted // whole) OVER () AS left_over FROM sizes)
+SELECT row_key, r.bucket FROM r JOIN turns USING (bucket) WHERE rk <= part + CASE WHEN turn <= left_over THEN 1 ELSE 0 END""")
 def row_subsample(spark, sf):
     df = orders_matrix(spark, sf).withColumn("bucket", F.year("order_ts"))
     return P.train_row_subsample(df, rows=5000, strata=["bucket"]).select("row_key", "bucket")

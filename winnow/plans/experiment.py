@@ -153,6 +153,10 @@ def _model_table(spark: SparkSession, metrics: DataFrame, serves: Mapping[str, s
     return plan.join(wide, "fit").drop("fit")
 
 
+#: All rules that the importances depend on; modes that agree in these share them.
+ARTIFACT_KEYS = ("holdout_fraction", "holdout_time_column", "fit_rows", "n_fs_models", "topk_shap", "fs_eval", "random_state")
+
+
 def run_profiles(encoded: DataFrame, features: Sequence[str], config: Mapping, label: str, key: str) -> Experiment:
     """Every named profile, on one set of importances and one fit per distinct feature set."""
     spark, seed = encoded.sparkSession, config["splits"].get("random_state", 42)
@@ -160,7 +164,7 @@ def run_profiles(encoded: DataFrame, features: Sequence[str], config: Mapping, l
     train = encoded.where("split = 'train'")
     measured, parts = {}, []
     for number, (mode, rule) in enumerate(rules.items(), start=1):
-        shape = repr([rule.get(k) for k in ("holdout_fraction", "n_fs_models", "topk_shap", "fs_eval", "random_state")])
+        shape = repr([rule.get(k) for k in ARTIFACT_KEYS])
         if shape not in measured:
             measured[shape] = compute_artifacts(train, features, rule, label, key, config.get("xgb_fs_params"), seed)
         option = selection.candidates(spark, {mode: rule}).withColumn("candidate", F.lit(number))
@@ -242,16 +246,17 @@ def run_experiment(
     """
     settings = merged(DEFAULTS, config)
     data = dataset
+    # Loaders clean and deduplicate lazily; the many narrow passes that follow read one stored copy.
     if data is None:
-        # Loaders clean and deduplicate lazily; the many narrow passes that follow read one stored copy.
         data = load_dataset(spark, settings["dataset"], settings.get("dataset_path"))
-        data = replace(data, frame=materialise(data.frame, "clean"))
+    data = replace(data, frame=materialise(data.frame, "clean"))
     encoded = split_and_encode(data, settings)
     features = data.features
-    if settings.get("prefilter"):
+    static = dict(settings.get("prefilter") or {})
+    if static and static.pop("enabled", True):
         # Static filters see TRAIN only; encoded columns stand for their originals.
         features = prefilter(
-            encoded.where("split = 'train'"), features, data.row_key, **{k: v for k, v in settings["prefilter"].items() if k != "enabled"})
+            encoded.where("split = 'train'"), features, data.row_key, **static)
     run = run_frontier if settings["fs_search"].get("mode") == "frontier" else run_profiles
     done = run(encoded, features, settings, data.label, data.row_key)
     paths = [p for p in [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,17 +52,20 @@ def scan_csv_fixed(spark: SparkSession, path: str | list[str], schema: T.StructT
     return reader.option("nullValue", null_text).csv(path)
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return nulls_for_nan(spark.read.parquet(path))
+def scan_parquet(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """``where`` is applied to the columns as stored, so it reaches the file; NaN becomes NULL after it."""
+    raw = spark.read.parquet(path)
+    return nulls_for_nan(raw if where is None else raw.where(where))
 
 
-def scan_any(spark: SparkSession, path: str) -> DataFrame:
-    """Pick the reader by suffix."""
+def scan_any(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """Pick the reader by suffix; ``where`` keeps rows by the columns as stored."""
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".parquet"):
-        return scan_parquet(spark, path)
+        return scan_parquet(spark, path, where)
     if lowered.endswith(".csv"):
-        return scan_csv_header(spark, path)
+        rows = scan_csv_header(spark, path)
+        return rows if where is None else rows.where(where)
     raise FileNotFoundError(f"unsupported file format: {path}")
 
 
