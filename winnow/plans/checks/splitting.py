@@ -106,7 +106,7 @@ def head_sample(spark, sf):
 
 
 @query("train_row_subsample", f"""
-WITH {ORDERS_SQL}, y AS (SELECT *, CAST(year(order_ts) AS INTEGER) AS bucket FROM m), {ranked_sql("y", "rows-42", by="bucket")}
+WITH {ORDERS_SQL}, y AS (SELECT *, CAST(year(order_ts) AS INTEGER) AS bucket FROM m), {ranked_sql("y", "rows-42", by="bucket")},
 sizes AS (SELECT bucket, any_value(n_class) AS n, least(5000, any_value(n_all)) AS wanted, any_value(n_all) AS whole FROM r GROUP BY bucket),
 turns AS (SELECT bucket, n * wanted // whole AS part, row_number() OVER (ORDER BY n * wanted % whole DESC, bucket) AS turn,
                  wanted - sum(n * wanted // whole) OVER () AS left_over FROM sizes)
