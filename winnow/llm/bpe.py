@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from winnow.llm import workers
 
-MAX_STATES = 150_000
-MAX_FITS = 300_000
-MAX_WORDS = 200_000
+MAX_STATES = 300_000
+MAX_FITS = 500_000
+MAX_WORDS = 400_000
 LONG_WORD = 64
 PIECE_TOKENS = 1 << 16
 #: The pattern of the public byte-level vocabularies (fixed value); others are matched over whole texts.
