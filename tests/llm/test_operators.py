@@ -3,10 +3,12 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -192,6 +194,45 @@ def test_language(spark, docs, nothing):
     assert language.identify(nothing).count() == 0
 
 
+def grams(text):
+    """All n-grams of the words between marks, most frequent first."""
+    found = Counter()
+    for word in regex.findall(r"\p{L}+", text.lower()):
+        word = f"_{word}_"
+        found.update(word[i:i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1) if word[i:i + n] != "_")
+    return found
+
+
+def as_text(gram):
+    return "".join(chr(c) for c in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if c)
+
+
+def test_rank_order_profiles(spark, monkeypatch):
+    texts = [BASE[0], "é Ünder_score 42x, İ", "_", "", None, "z", "漢字 漢字\n\U00020000b", "ab " * 50, BASE[1]]
+    monkeypatch.setattr(language, "PIECE", 7)
+    for text in texts:
+        keys, n = language.counted(language.marked(text))
+        assert {as_text(k): c for k, c in zip(keys.tolist(), n.tolist())} == grams(text or "")
+    monkeypatch.undo()
+    rows = [(f"l{i % 3}", t) for i, t in enumerate(texts)]
+    profiles = language.learn(spark.createDataFrame(rows, "lang string, text string").repartition(2), 50)
+    expected = {}
+    for lang in ("l0", "l1", "l2"):
+        found = Counter()
+        for own, text in rows:
+            if own == lang:
+                found += grams(text or "")
+        expected[lang] = sorted(found, key=lambda g: (-found[g], g))[:50]
+    assert {lang: [as_text(g) for g in p] for lang, p in profiles.items()} == {lang: p for lang, p in expected.items() if p}
+    judge = language.Judge(profiles, 50)
+    for text in texts:
+        found = grams(text or "")
+        own = sorted(found, key=lambda g: (-found[g], g))[:50]
+        away = {lang: sum(abs(i - p.index(g)) if g in p else 50 for i, g in enumerate(own)) for lang, p in expected.items() if p}
+        best = min(sorted(away), key=away.get)
+        assert judge.judge(text) == ((best, pytest.approx(1 - away[best] / (50 * len(own)))) if own else ("und", 0.0))
+
+
 def test_urls(spark):
     urls = ["http://a.NET/x", "http://x.example.net/en/1", "http://example.net", "http://example.com/de/2?q=1", "https://org/fr/3#t", "http://other.com/fr/4", None, "nothing", "http://notexample.net/en/", ""]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string, path string")
