@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from winnow.llm import workers
 
-WIDTH, STRIDE, EMBEDDED, FILTERS = 8, 4, 8, 24
+WIDTH, STRIDE, EMBEDDED, FILTERS = 8, 4, 8, 24  # WIDTH and CHUNK are multiples of STRIDE
 CHUNK, OVERLAP = 512, 64  # bytes
-BLOCK = 256  # chunks at once
+BLOCK = 64  # chunks at once
 SAMPLE_PER_LABEL = 1_500
 PIECES, PIECE_CHARS = 10, 2_000  # of one learning row, spread evenly when its text is longer
 TRAIN_CHUNKS = 6
@@ -60,18 +60,27 @@ class Network:
         """(chunks, places, WIDTH) byte codes."""
         return np.lib.stride_tricks.sliding_window_view(codes, WIDTH, axis=1)[:, ::STRIDE]
 
+    def responses(self, codes: np.ndarray) -> np.ndarray:
+        """(chunks, places, filters). Windows overlap, so each stretch of ``STRIDE`` bytes meets every part of the filters once, in one product."""
+        parts, stretch = WIDTH // STRIDE, STRIDE * EMBEDDED
+        sides = self.filters.reshape(parts, stretch, FILTERS).transpose(1, 0, 2).reshape(stretch, parts * FILTERS)
+        met = (self.embed[codes].reshape(-1, stretch) @ sides).reshape(len(codes), CHUNK // STRIDE, parts, FILTERS)
+        places = met.shape[1] - parts + 1
+        raw = met[:, :places, 0]
+        for part in range(1, parts):
+            raw = raw + met[:, part:part + places, part]
+        return raw
+
     def respond(self, codes: np.ndarray):
         """The largest response of every filter per chunk, and its place."""
-        embedded = self.embed[codes].reshape(len(codes), -1)
-        seen = np.lib.stride_tricks.sliding_window_view(embedded, WIDTH * EMBEDDED, axis=1)[:, ::STRIDE * EMBEDDED]
-        raw = seen @ self.filters
+        raw = self.responses(codes)
         place = raw.argmax(axis=1)
         return np.take_along_axis(raw, place[:, None, :], 1)[:, 0] + self.shift, place
 
     def pooled(self, codes: np.ndarray) -> np.ndarray:
         total, top = np.zeros(FILTERS), np.full(FILTERS, -np.inf)
         for at in range(0, len(codes), BLOCK):
-            found = np.tanh(self.respond(codes[at:at + BLOCK])[0])
+            found = np.tanh(self.responses(codes[at:at + BLOCK]).max(axis=1) + self.shift)
             total += found.sum(axis=0)
             top = np.maximum(top, found.max(axis=0))
         return np.concatenate([total / len(codes), top])
@@ -113,10 +122,8 @@ def _gradients(net: Network, codes, owner, truth, weight):
     raw, place = net.respond(codes)
     active = np.tanh(raw)
     n, counts = len(truth), np.bincount(owner, minlength=len(truth))[:, None]
-    mean = np.zeros((n, FILTERS))
-    np.add.at(mean, owner, active)
-    mean /= counts
     starts = np.concatenate([[0], np.cumsum(counts[:-1, 0])])
+    mean = np.add.reduceat(active, starts, axis=0) / counts
     top = np.maximum.reduceat(active, starts, axis=0)
     pooled = np.concatenate([mean, top], axis=1)
     off = (1 / (1 + np.exp(-(pooled @ net.out + net.bias[0]))) - truth) * weight / n
@@ -128,8 +135,8 @@ def _gradients(net: Network, codes, owner, truth, weight):
     seen = net.embed[picked].reshape(len(codes), FILTERS, -1)
     d_filters = np.einsum("cf,cfw->wf", d_raw, seen)
     d_seen = d_raw[:, :, None] * net.filters.T[None]
-    d_embed = np.zeros_like(net.embed, dtype=np.float64)
-    np.add.at(d_embed, picked.reshape(-1), d_seen.reshape(-1, EMBEDDED))
+    at, flat = picked.reshape(-1), d_seen.reshape(-1, EMBEDDED)
+    d_embed = np.stack([np.bincount(at, weights=flat[:, e], minlength=len(net.embed)) for e in range(EMBEDDED)], axis=1)
     return d_embed, d_filters, d_raw.sum(axis=0), pooled.T @ off, np.array([off.sum()])
 
 
