@@ -54,16 +54,21 @@ def ranking_metrics(
     return metrics_from_counts(score_counts(df, list(group), label, score), group, few_groups)
 
 
-def average_precision(df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
-    return ranking_metrics(df, group, label, score).select(*group, "pr_auc")
+def average_precision(
+    df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score", few_groups: bool = True
+) -> DataFrame:
+    return ranking_metrics(df, group, label, score, few_groups).select(*group, "pr_auc")
 
 
-def roc_auc(df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
-    return ranking_metrics(df, group, label, score).select(*group, "roc_auc")
+def roc_auc(
+    df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score", few_groups: bool = True
+) -> DataFrame:
+    return ranking_metrics(df, group, label, score, few_groups).select(*group, "roc_auc")
 
 
 def metrics_by_split(
-    df: DataFrame, group: Sequence[str] = ("model",), label: str = "label", score: str = "score", split: str = "split"
+    df: DataFrame, group: Sequence[str] = ("model",), label: str = "label", score: str = "score", split: str = "split",
+    few_groups: bool = True,
 ) -> DataFrame:
     """Both metrics for every model on every split, in one job."""
-    return ranking_metrics(df, [*group, split], label, score)
+    return ranking_metrics(df, [*group, split], label, score, few_groups)
