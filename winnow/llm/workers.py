@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 _kept: dict[str, Any] = {}
@@ -27,3 +28,15 @@ def small_batches(spark, rows: int = 512) -> None:
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(setting) == "10000":
         spark.conf.set(setting, str(rows))
+
+
+@contextmanager
+def batches_of(spark, rows: int) -> Iterator[None]:
+    """So many rows at a time in Python workers, for what runs inside: where a row is megabytes."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
