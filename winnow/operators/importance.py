@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.ordering import order_hash
 from winnow.operators.boosting import BoostedModel, _as_one, _matrix, feature_array
-from winnow.operators.metrics import metrics_from_counts
+from winnow.operators.metrics import metrics_from_counts, score_counts
 
 BLOCK_ROWS = 16_384
 BASELINE = ""  # the "feature" under which unshuffled scores travel
@@ -170,6 +170,10 @@ def column_shuffle(
     """
     blocked = with_blocks(df, key, seed, rows_per_block).select("block", key, *carry, *columns)
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    return _shuffled(blocked, cells, key, carry, models, seed)
+
+
+def _shuffled(blocked: DataFrame, cells, key: str, carry: Sequence[str], models: Sequence[str], seed: int) -> DataFrame:
     copies = (
         blocked.repartition("block")
         .select("block", key, *carry, F.explode(cells).alias("_c"))
@@ -183,15 +187,40 @@ def column_shuffle(
     return copies.withColumn("shuffled", taken["value"]).select("model", "feature", key, *carry, "value", "shuffled")
 
 
-def linear_permutation_counts(
-    df: DataFrame, weights: Mapping[str, Mapping[str, float]], features: Sequence[str],
+#: Columns to shuffle one by one, or groups of columns to shuffle together, by name.
+Groups = Sequence[str] | Mapping[str, Sequence[str]]
+
+
+def named_groups(features: Groups) -> dict[str, tuple[str, ...]]:
+    """A plain list is one group per column, under the column's name."""
+    if isinstance(features, Mapping):
+        return {name: tuple(members) for name, members in features.items()}
+    return {f: (f,) for f in features}
+
+
+def group_shuffle(
+    df: DataFrame, groups: Mapping[str, Sequence[str]], key: str = "row_key", carry: Sequence[str] = (),
+    models: Sequence[str] = ("m0",), seed: int = 42, rows_per_block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(model, feature, key, carry..., value, shuffled) like :func:`column_shuffle`, with arrays of a group's columns: one permutation
+    moves whole rows of the group, so what its columns know of each other stays. ``feature`` is the group's name, which salts the order."""
+    used = list(dict.fromkeys(c for members in groups.values() for c in members))
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.array(*[F.col(c).cast("double") for c in members]).alias("value")) for name, members in groups.items()
+    ])
+    return _shuffled(with_blocks(df, key, seed, rows_per_block).select("block", key, *carry, *used), cells, key, carry, models, seed)
+
+
+def linear_permutation_scores(
+    df: DataFrame, weights: Mapping[str, Mapping[str, float]], features: Groups,
     label: str = "label", key: str = "row_key", seed: int = 42, rows_per_block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Shuffled-score counts for scorers that are weighted sums: ``weights[model][feature]``.
+    """(model, feature, _key, _y, score): plain and shuffled scores of weighted sums ``weights[model][feature]``.
 
-    Only the score and the two values of the shuffled column travel, whatever the number of features.
+    Only the score and the values of the shuffled columns travel, whatever the number of features.
     """
-    used = sorted({f for w in weights.values() for f in w} | set(features))
+    groups = named_groups(features)
+    used = sorted({f for w in weights.values() for f in w} | {f for g in groups.values() for f in g})
     filled = df.select(key, label, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in used])
     score_of = {}
     for name, w in weights.items():
@@ -201,87 +230,109 @@ def linear_permutation_counts(
         score_of[name] = total
     scored = filled.withColumns({f"_s_{m}": s for m, s in score_of.items()})
     base_cells = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_s_{m}").alias("score")) for m in weights])
-    base = scored.select(label, F.explode(base_cells).alias("_b")).select(
-        "_b.model", F.lit(BASELINE).alias("feature"), F.col(label).alias("_y"), "_b.score"
-    )
-    moved = column_shuffle(
-        scored, features, key, [label, *[f"_s_{m}" for m in weights]], list(weights), seed, rows_per_block
+    base = scored.select(key, label, F.explode(base_cells).alias("_b")).select(
+        "_b.model", F.lit(BASELINE).alias("feature"), F.col(key).alias("_key"), F.col(label).alias("_y"), "_b.score"
     )
-    factor, start = F.lit(0.0), F.lit(None).cast("double")
+    moved = group_shuffle(scored, groups, key, [label, *[f"_s_{m}" for m in weights]], list(weights), seed, rows_per_block)
+    start, change = F.lit(None).cast("double"), F.lit(0.0)
     for m, w in weights.items():
         here = F.col("model") == m
         start = F.when(here, F.col(f"_s_{m}")).otherwise(start)
-        for f in sorted(w):
-            factor = F.when(here & (F.col("feature") == f), F.lit(float(w[f]))).otherwise(factor)
-    changed = moved.select(
-        "model", "feature", F.col(label).alias("_y"),
-        (start + factor * (F.col("shuffled") - F.col("value"))).alias("score"),
-    )
-    return base.unionByName(changed).groupBy("model", "feature", "score").agg(
-        F.sum(F.col("_y").cast("bigint")).alias("n_pos"), F.count(F.lit(1)).alias("n_rows")
-    )
+        for name, members in groups.items():
+            steps = [F.lit(float(w[f])) * (F.col("shuffled")[k] - F.col("value")[k]) for k, f in enumerate(members) if f in w]
+            if steps:
+                change = F.when(here & (F.col("feature") == name), sum(steps[1:], steps[0])).otherwise(change)
+    changed = moved.select("model", "feature", F.col(key).alias("_key"), F.col(label).alias("_y"), (start + change).alias("score"))
+    return base.unionByName(changed)
 
 
-def tree_permutation_counts(
-    df: DataFrame, models: Sequence[BoostedModel], features: Sequence[str],
+def linear_permutation_counts(
+    df: DataFrame, weights: Mapping[str, Mapping[str, float]], features: Groups,
     label: str = "label", key: str = "row_key", seed: int = 42, rows_per_block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Shuffled-score counts for tree ensembles.
+    """Shuffled-score counts for scorers that are weighted sums."""
+    return score_counts(linear_permutation_scores(df, weights, features, label, key, seed, rows_per_block), ["model", "feature"], "_y")
+
+
+def _tree_blocks(df: DataFrame, models: Sequence[BoostedModel], features: Groups, label: str, key: str, seed: int, rows_per_block: int, emit, schema: str) -> DataFrame:
+    """What ``emit(model, feature, scores, block)`` makes of plain and shuffled scores of every block.
 
-    The evaluation rows are shuffled once, by block; a task then holds one bounded block, shuffles each
-    column in it, re-evaluates only the trees that use the column, and sends score counts.
+    The evaluation rows are shuffled once, by block; a task then holds one bounded block, moves each group of columns in it by one
+    permutation and re-evaluates only the trees that use a column of the group.
     """
     first = _shared_shape(models)
     width, names = len(first.features), list(first.features)
-    places = [(f, names.index(f)) for f in features]
+    places = [(name, [names.index(f) for f in members]) for name, members in named_groups(features).items()]
     shared = df.sparkSession.sparkContext.broadcast([m.ensemble for m in models])
     labels = [m.name for m in models]
 
-    def counts(model: str, feature: str, scores: np.ndarray, y: np.ndarray) -> pa.Table:
-        values, place = np.unique(scores, return_inverse=True)
-        return pa.table({
-            "model": pa.array([model] * len(values)),
-            "feature": pa.array([feature] * len(values)),
-            "score": pa.array(values),
-            "n_pos": pa.array(np.bincount(place, weights=y).astype(np.int64)),
-            "n_rows": pa.array(np.bincount(place).astype(np.int64)),
-        })
-
     def shuffle_block(block: pa.Table) -> pa.Table:
         block = block.sort_by("_key")
         x = _matrix(_as_one(block, "_x"), width)
-        y = block.column("_y").to_numpy()
         number = block.column("block")[0].as_py()
         out = []
         for m, ensemble in enumerate(shared.value):
             parts = ensemble.contributions(x)
             base = parts.sum(axis=1)
-            out.append(counts(labels[m], BASELINE, base, y))
-            for feature, column in places:
-                trees = ensemble.trees_using(column)
+            out.append(emit(labels[m], BASELINE, base, block))
+            for feature, columns in places:
+                trees = np.unique(np.concatenate([ensemble.trees_using(c) for c in columns]))
                 scores = base
                 if len(trees):
-                    draw = np.random.default_rng([seed, m, column, number])
+                    moved = np.random.default_rng([seed, m, *columns, number]).permutation(len(x))
                     swapped = x.copy()
-                    swapped[:, column] = x[draw.permutation(len(x)), column]
+                    swapped[:, columns] = x[np.ix_(moved, columns)]
                     changed = parts.copy()
                     changed[:, trees] = ensemble.contributions(swapped, trees)
                     scores = changed.sum(axis=1)
-                out.append(counts(labels[m], feature, scores, y))
+                out.append(emit(labels[m], feature, scores, block))
         return pa.concat_tables(out)
 
     slim = with_blocks(df, key, seed, rows_per_block).select(
         "block", F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"),
         feature_array(first.features, first.fills),
     )
-    per_block = slim.groupBy("block").applyInArrow(
-        shuffle_block, "model string, feature string, score double, n_pos bigint, n_rows bigint"
-    )
+    return slim.groupBy("block").applyInArrow(shuffle_block, schema)
+
+
+def tree_permutation_counts(
+    df: DataFrame, models: Sequence[BoostedModel], features: Groups,
+    label: str = "label", key: str = "row_key", seed: int = 42, rows_per_block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Shuffled-score counts for tree ensembles; only counts leave a block."""
+    def counts(model: str, feature: str, scores: np.ndarray, block: pa.Table) -> pa.Table:
+        values, place = np.unique(scores, return_inverse=True)
+        y = block.column("_y").to_numpy()
+        return pa.table({
+            "model": pa.array([model] * len(values)),
+            "feature": pa.array([feature] * len(values)),
+            "score": pa.array(values),
+            "n_pos": pa.array(np.bincount(place, weights=y).astype(np.int64)),
+            "n_rows": pa.array(np.bincount(place).astype(np.int64)),
+        })
+
+    per_block = _tree_blocks(
+        df, models, features, label, key, seed, rows_per_block, counts, "model string, feature string, score double, n_pos bigint, n_rows bigint")
     return per_block.groupBy("model", "feature", "score").agg(
         F.sum("n_pos").alias("n_pos"), F.sum("n_rows").alias("n_rows")
     )
 
 
+def tree_permutation_scores(
+    df: DataFrame, models: Sequence[BoostedModel], features: Groups,
+    label: str = "label", key: str = "row_key", seed: int = 42, rows_per_block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(model, feature, _key, _y, score): the rows behind :func:`tree_permutation_counts`."""
+    def rows(model: str, feature: str, scores: np.ndarray, block: pa.Table) -> pa.Table:
+        return pa.table({
+            "model": pa.array([model] * len(scores)), "feature": pa.array([feature] * len(scores)),
+            "_key": block.column("_key"), "_y": pa.array(block.column("_y").to_numpy().astype(np.int32)), "score": pa.array(scores),
+        })
+
+    kind = df.schema[key].dataType.simpleString()
+    return _tree_blocks(df, models, features, label, key, seed, rows_per_block, rows, f"model string, feature string, _key {kind}, _y int, score double")
+
+
 def permutation_table(counts: DataFrame) -> DataFrame:
     """(feature, delta_mean, delta_std) from score counts: baseline minus shuffled average precision,
     mean and population deviation over models, largest first."""
@@ -300,7 +351,7 @@ def sort_permutation_table(table: DataFrame) -> DataFrame:
 
 
 def permutation_importance(
-    df: DataFrame, models: Sequence[BoostedModel], features: Sequence[str], label: str = "label",
+    df: DataFrame, models: Sequence[BoostedModel], features: Groups, label: str = "label",
     key: str = "row_key", seed: int = 42, rows_per_block: int = BLOCK_ROWS,
 ) -> DataFrame:
     return permutation_table(tree_permutation_counts(df, models, features, label, key, seed, rows_per_block))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from winnow.plans.checks import boosted, cleaning, encoding, importances, splitting
+from winnow.plans.checks import boosted, cleaning, comparisons, encoding, importances, splitting
 
-AREAS = (cleaning, splitting, encoding, importances, boosted)
+AREAS = (cleaning, splitting, encoding, importances, boosted, comparisons)
 
 
 def all_queries() -> dict:

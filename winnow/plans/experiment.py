@@ -16,10 +16,13 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.operators import cleaning, encoding, importance, profiling, reports, sampling, search, selection, splitting
+from winnow.operators import (
+    cleaning, clusters, encoding, greedy, importance, profiling, reports, sampling, search, selection, significance, splitting,
+)
 from winnow.operators.boosting import BoostedModel, BoostParams, fs_ensemble, predict_score, train_gbt
-from winnow.operators.metrics import metrics_by_split
+from winnow.operators.metrics import metrics_by_split, score_counts
 from winnow.operators.prefilters import prefilter
+from winnow.plans import comparison
 from winnow.plans.config import DEFAULTS, FINAL_PATIENCE, FS_PATIENCE, merged, mode_rules
 from winnow.session import materialise
 from winnow.sources.readers import scan_descriptions
@@ -102,11 +105,38 @@ def compute_artifacts(
     shap = materialise(importance.shap_aggregate(importance.shap_importance(evaluation, models)), "shap")
     top = importance.topk_shap(shap, rules.get("topk_shap", min(50, len(features))))
     names = [r["feature"] for r in top.collect()]  # at most k names
-    permutation = importance.permutation_importance(evaluation, models, names, label, key, seed)
+    test, groups = rules.get("significance") or {}, rules.get("groups") or {}
+    if test.get("enabled"):
+        # One shuffle serves the table and the test.
+        scores = materialise(importance.tree_permutation_scores(evaluation, models, names, label, key, seed), "shuffled-scores")
+        permutation = importance.permutation_table(score_counts(scores, ["model", "feature"], "_y"))
+        counts = significance.replicate_counts(scores, ["model", "feature"], "_y", "_key", "score", test.get("replicates", significance.REPLICATES), seed)
+        precision = significance.replicate_precision(counts, ["model", "feature"], test.get("replicates", significance.REPLICATES))
+        tested = significance.delta_test(precision, test.get("alpha", 0.05)).select("feature", *selection.TESTED)
+        permutation = permutation.join(tested, "feature", "left")
+    else:
+        permutation = importance.permutation_importance(evaluation, models, names, label, key, seed)
+    if groups.get("enabled") and len(names) > 1:
+        permutation = permutation.join(group_deltas(evaluation, models, names, groups, label, key, seed), "feature", "left")
     table = selection.artifact_table(shap, importance.gain_importance(models), permutation)
     return materialise(table, "artifacts")
 
 
+def group_deltas(
+    evaluation: DataFrame, models: Sequence[BoostedModel], names: Sequence[str], how: Mapping, label: str, key: str, seed: int,
+) -> DataFrame:
+    """(feature, group, group_representative, group_delta_mean, group_delta_std): correlated columns shuffled together."""
+    found = clusters.correlation_clusters(evaluation, names, how.get("least", 0.8), how.get("linkage", "complete"))
+    found = materialise(found, "column-groups")
+    members: dict[str, list[str]] = {}
+    for r in found.orderBy("feature").collect():  # one row per column
+        members.setdefault(r["cluster"], []).append(r["feature"])
+    deltas = importance.permutation_importance(evaluation, models, members, label, key, seed).select(
+        F.col("feature").alias("group"), F.col("delta_mean").alias("group_delta_mean"), F.col("delta_std").alias("group_delta_std"))
+    named = found.select("feature", F.col("cluster").alias("group"), F.col("representative").alias("group_representative"))
+    return named.join(deltas, "group").select("feature", *selection.GROUPED)
+
+
 def train_eval_sets(
     df: DataFrame, sets: Mapping[str, Sequence[str]], label: str = "label", key: str = "row_key",
     params: Mapping | None = None, seed: int = 42, parallel: int = 3,
@@ -154,7 +184,7 @@ def _model_table(spark: SparkSession, metrics: DataFrame, serves: Mapping[str, s
 
 
 #: All rules that the importances depend on; modes that agree in these share them.
-ARTIFACT_KEYS = ("holdout_fraction", "holdout_time_column", "fit_rows", "n_fs_models", "topk_shap", "fs_eval", "random_state")
+ARTIFACT_KEYS = ("holdout_fraction", "holdout_time_column", "fit_rows", "n_fs_models", "topk_shap", "fs_eval", "random_state", "significance", "groups")
 
 
 def run_profiles(encoded: DataFrame, features: Sequence[str], config: Mapping, label: str, key: str) -> Experiment:
@@ -237,6 +267,39 @@ def run_frontier(encoded: DataFrame, features: Sequence[str], config: Mapping, l
     }, models=models)
 
 
+def run_greedy(encoded: DataFrame, features: Sequence[str], config: Mapping, label: str, key: str) -> Experiment:
+    """Pruning by a light surrogate until validation suffers; ``fs_search.greedy`` has tolerance_relative, least_features and log_path.
+
+    A ``log_path`` that holds the log of an interrupted search is gone on with.
+    """
+    spark, seed = encoded.sparkSession, config["splits"].get("random_state", 42)
+    base, how, choice = config.get("fs") or {}, config["fs_search"].get("greedy") or {}, config["selection"]
+    artifacts = compute_artifacts(
+        encoded.where("split = 'train'"), features, base, label, key, config.get("xgb_fs_params"), seed)
+    light = BoostParams.from_names(how.get("params") or config.get("xgb_fs_params") or {}, seed=seed)
+    log = greedy.greedy_prune(
+        spark, features, comparison.surrogate_judge(encoded, label, key, light), how.get("tolerance_relative", choice.get("val_tolerance_relative", 0.01)),
+        how.get("least_features", 1), how.get("log_path"))
+    kept = greedy.chosen_features(log)
+    decisions = selection.select_features(artifacts, selection.candidates(spark, {"greedy": base}))
+    decisions = materialise(decisions.withColumn("kept", F.col("feature").isin(kept)), "decisions")
+    sets = selection.feature_sets(decisions)
+    metrics, models = train_eval_sets(
+        encoded, {ALL: list(features), "greedy": kept}, label, key, config.get("xgb_final_params"), choice.get("final_model_random_state", 42))
+    weight = choice.get("gap_penalty_weight", 0.0)
+    table = search.select_model_within_tolerance(
+        _model_table(spark, metrics, {"greedy": "greedy"}, {ALL: len(features), "greedy": len(kept)}), choice.get("val_tolerance_relative", 0.01), weight)
+    return Experiment("greedy", {
+        "decisions": decisions, "feature_sets": sets, "models": table, "greedy_log": log,
+        "mode_summary": reports.mode_summary(sets, table, "greedy", weight), "mode_ranking": reports.mode_ranking(table, "greedy", weight),
+        "feature_summary": reports.feature_summary(decisions),
+    }, models=models)
+
+
+#: ``fs_search.mode`` and what runs it.
+SEARCHES = {"profiles": run_profiles, "frontier": run_frontier, "greedy": run_greedy}
+
+
 def run_experiment(
     spark: SparkSession, config: Mapping | None = None, dataset: Dataset | None = None, results_root: str | None = None
 ) -> Experiment:
@@ -257,8 +320,7 @@ def run_experiment(
         # Static filters see TRAIN only; encoded columns stand for their originals.
         features = prefilter(
             encoded.where("split = 'train'"), features, data.row_key, **static)
-    run = run_frontier if settings["fs_search"].get("mode") == "frontier" else run_profiles
-    done = run(encoded, features, settings, data.label, data.row_key)
+    done = SEARCHES[settings["fs_search"].get("mode", "profiles")](encoded, features, settings, data.label, data.row_key)
     paths = [p for p in [
         (settings.get("reporting") or {}).get("feature_description_path"),
         f"{settings['dataset_path'].rstrip('/')}/variable_descriptions.csv" if settings.get("dataset_path") else None,
