@@ -342,7 +342,7 @@ def test_bpe(docs, nothing):
 
 def test_bpe_on_random_text_with_tiny_tables(monkeypatch):
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-    for limit in ("MAX_STATES", "MAX_FITS", "MAX_WORDS"):
+    for limit in ("MAX_STATES", "MAX_FITS", "MAX_EDGES", "MAX_WORDS"):
         monkeypatch.setattr(bpe, limit, 50)
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     alphabet = ["the", "in", "er", " ", "  ", "\n", "'s", "0", "12", "é", "你", "\U0001f600", "=-", "\x00", "\t ", " ", "²", "١"]
@@ -352,6 +352,18 @@ def test_bpe_on_random_text_with_tiny_tables(monkeypatch):
         assert codec.decode(codec.encode(text)) == text
 
 
+def test_bpe_tables_stay_bounded(monkeypatch):
+    for limit, size in (("MAX_STATES", 300), ("MAX_FITS", 200), ("MAX_EDGES", 100), ("MAX_WORDS", 40)):
+        monkeypatch.setattr(bpe, limit, size)
+    codec, draw = bpe.Codec(RANKS, public_tokenizers.PATTERN), random.Random(3)
+    for _ in range(300):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(1, 12))) for _ in range(20)]
+        codec.encode(" ".join(words * 2) + "!?, 12")
+        machine = codec.machine
+        assert len(machine.states) <= 300 + 300 and len(machine.fits) <= 202 and len(machine.edges) <= 102 and len(machine.steps) <= 4 * 600
+        assert all(len(half) <= 40 for seen in (codec.words, codec.chunks) for half in (seen.young, seen.old))
+
+
 def test_utf8_by_single_bytes():
     raw = bytes(RANDOM.randrange(256) for _ in range(5_000)) + "é你\U0001f600".encode()
     reader = bpe.Utf8()

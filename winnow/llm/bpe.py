@@ -12,7 +12,9 @@ Text is split by the pattern first; every match is run through the transducer, a
 Decoding. Bytes of the ids go through a UTF-8 state machine that accepts input in pieces of any size: a character
 that a piece cuts in two is held until the next piece, and bytes that are no UTF-8 become U+FFFD.
 
-Tables are bounded (``MAX_STATES``, ``MAX_WORDS``) and start anew when full; results do not depend on that. Defined cases:
+Frequent matches are remembered from their second time on, in two halves: when the younger is full it becomes the older, so what is frequent stays. Each
+worker of an executor has tables of its own, so all are bounded (``MAX_STATES``, ``MAX_FITS``, ``MAX_EDGES``, ``MAX_WORDS``), to about 220 MB
+together; results do not depend on that. Defined cases:
 null counts as empty; an empty text has no ids; the sha256 of nothing is that of the empty byte string.
 """
 
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 
 from winnow.llm import workers
 
-MAX_STATES = 300_000
-MAX_FITS = 500_000
-MAX_WORDS = 400_000
+MAX_STATES = 250_000
+MAX_FITS = 150_000
+MAX_EDGES = 20_000
+MAX_WORDS = 120_000
+FILTER_BITS = 20  # of the filter that says which strings were met before
 LONG_WORD = 64
 PIECE_TOKENS = 1 << 16
 #: The pattern of the public byte-level vocabularies (fixed value); others are matched over whole texts.
@@ -75,6 +79,8 @@ class Transducer:
             while len(data) > 1:
                 known.append((data, self.ranks[data]))
                 data = self.merged(data)[side]
+            if len(self.edges) >= MAX_EDGES:
+                self.edges.clear()
             known = self.edges[token, side] = [(data, -1), *reversed(known)]
         return known
 
@@ -164,6 +170,35 @@ class Transducer:
         return out + list(self.states[at][1][-1] or ())
 
 
+class Remembered:
+    """Ids of frequent strings: kept from their second time on, in a younger and an older half."""
+
+    def __init__(self):
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.met = bytearray(1 << FILTER_BITS)
+
+    def older(self, text: str) -> tuple[int, ...] | None:
+        ids = self.old.get(text)
+        if ids is not None:
+            self._keep(text, ids)
+        return ids
+
+    def offer(self, text: str, ids: tuple[int, ...]) -> None:
+        trace = hash(text) & (1 << FILTER_BITS) - 1
+        if self.met[trace] and len(text) <= LONG_WORD:
+            self._keep(text, ids)
+        self.met[trace] = 1
+
+    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(self.young) >= MAX_WORDS:
+            # In place: whoever holds the younger half keeps holding it.
+            self.old = dict(self.young)
+            self.young.clear()
+            self.met = bytearray(1 << FILTER_BITS)
+        self.young[text] = ids
+
+
 class Codec:
     """Texts to ids and back, for one rank table and pattern."""
 
@@ -172,25 +207,25 @@ class Codec:
         self.split = regex.compile(pattern).findall
         #: Only a pattern that takes a space with what follows it may be cut before spaces.
         self.spaced = pattern == CUT_PATTERN
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words, self.chunks = Remembered(), Remembered()
+        self.names = {i: str(i) for i in ranks.values()}
 
     def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
+        ids = self.words.older(word)
         if ids is None:
             ids = tuple(self.machine.encode(word.encode("utf-8", "surrogatepass")))
-            if len(word) <= LONG_WORD:
-                if len(self.words) >= MAX_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
+            self.words.offer(word, ids)
         return ids
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple([i for word in self.split(chunk) for i in self.words.get(word) or self.word(word)])
-        if len(chunk) <= LONG_WORD:
-            if len(self.chunks) >= MAX_WORDS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+        ids = self.chunks.older(chunk)
+        if ids is None:
+            if chunk.isascii() and chunk.removeprefix(" ").isalpha():  # one match of the pattern
+                ids = tuple(self.machine.encode(chunk.encode()))
+            else:
+                known = self.words.young.get
+                ids = tuple([i for word in self.split(chunk) for i in known(word) or self.word(word)])
+            self.chunks.offer(chunk, ids)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -201,8 +236,9 @@ class Codec:
         if not text:
             return []
         if not self.spaced or _LOOSE.search(text):
-            return [i for word in self.split(text) for i in self.words.get(word) or self.word(word)]
-        known = self.chunks.get
+            known = self.words.young.get
+            return [i for word in self.split(text) for i in known(word) or self.word(word)]
+        known = self.chunks.young.get
         chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else regex.split("(?= )", text, flags=regex.V1)
         return [i for chunk in chunks for i in known(chunk) or self.chunk(chunk)]
 
@@ -212,9 +248,20 @@ class Codec:
         for at in range(0, len(ids), PIECE_TOKENS):
             yield b"".join([table[i] for i in ids[at:at + PIECE_TOKENS]])
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """The text of the ids, in pieces of bounded size that never cut a character."""
         reader = Utf8()
-        return "".join([reader.feed(piece) for piece in self.decode_bytes(ids)]) + reader.end()
+        for piece in self.decode_bytes(ids):
+            yield reader.feed(piece)
+        yield reader.end()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return "".join(self.decode_stream(ids))
+
+    def listed(self, ids: Iterable[int]) -> str:
+        """Decimal ids, joined by one space."""
+        names = self.names
+        return " ".join([names[i] for i in ids])
 
 
 class Utf8:
@@ -265,7 +312,8 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
         codec = workers.once(name, lambda: Codec(shared.value, pattern))
-        return pd.Series([codec.encode(t) for t in texts], dtype=object)
+        with workers.no_cycles():
+            return pd.Series([codec.encode(t) for t in texts], dtype=object)
 
     return docs.withColumn(into, encoded.asNondeterministic()(F.col(text_col)))
 
@@ -292,12 +340,13 @@ def round_trips(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
     def digested(texts: pd.Series) -> pd.DataFrame:
         codec = workers.once(name, lambda: Codec(shared.value, pattern))
         rows = []
-        for text in texts:
-            ids = codec.encode(text)
-            written, read = hashlib.sha256(" ".join(map(str, ids)).encode()), hashlib.sha256()
-            for piece in codec.decode_bytes(ids):
-                read.update(piece)
-            rows.append((len(ids), written.hexdigest(), read.hexdigest()))
+        with workers.no_cycles():
+            for text in texts:
+                ids = codec.encode(text)
+                written, read = hashlib.sha256(codec.listed(ids).encode()), hashlib.sha256()
+                for piece in codec.decode_stream(ids):
+                    read.update(piece.encode("utf-8", "surrogatepass"))
+                rows.append((len(ids), written.hexdigest(), read.hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     found = docs.select("doc_id", digested.asNondeterministic()("text").alias("d"))
@@ -313,9 +362,10 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     def both_ways(texts: pd.Series) -> pd.DataFrame:
         codec = workers.once(name, lambda: Codec(shared.value, pattern))
         rows = []
-        for text in texts:
-            ids = codec.encode(text)
-            rows.append((ids, len(ids), codec.decode(ids) == (text or "")))
+        with workers.no_cycles():
+            for text in texts:
+                ids = codec.encode(text)
+                rows.append((ids, len(ids), codec.decode(ids) == (text or "")))
         return pd.DataFrame(rows, columns=["ids", "n_tokens", "round_trip"])
 
     return docs.select("doc_id", both_ways.asNondeterministic()("text").alias("d")).select("doc_id", "d.*")
