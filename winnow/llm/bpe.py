@@ -56,12 +56,11 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.openings = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
-        self.steps: dict[int, tuple] = {}
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
+        #: Each state's node: the state itself under -1, and by byte the next node and the tokens emitted on the way.
+        self.nodes: dict[tuple, dict] = {}
         self.fits: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self.start = self._number(self.START)
+        self.start = self._node(self.START)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges by definition, short of the one that makes ``data`` itself. Only for tokens."""
@@ -109,11 +108,11 @@ class Transducer:
             self.fits[key] = known
         return known
 
-    def _number(self, state: tuple) -> int:
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
-            self.states.append(state)
-        return self.numbers[state]
+    def _node(self, state: tuple) -> dict:
+        node = self.nodes.get(state)
+        if node is None:
+            node = self.nodes[state] = {-1: state}
+        return node
 
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """A state is (open bytes, paths): paths[k] are the tokens not yet emitted up to the place after k open bytes.
@@ -122,29 +121,27 @@ class Transducer:
         """
         data, paths = state
         data += _BYTES[byte]
-        size, best, cut = len(data), None, len(data)
-        for k in range(size):  # the longest fitting token that ends here
+        size, best, openings = len(data), None, self.openings
+        cut = 0
+        while cut < size and (paths[cut] is None or data[cut:] not in openings):
+            cut += 1
+        for k in range(cut, size):  # the longest fitting token that ends here; a token is an opening, so none starts before the cut
             path = paths[k]
             if path is not None:
-                rest = data[k:]
-                if cut == size and rest in self.openings:
-                    cut = k
-                token = self.ranks.get(rest)
-                if token is not None and (not path or self.fit(path[-1], token)):
+                token = self.ranks.get(data[k:])
+                if token is not None and (not path or self.fits.get(path[-1] << 20 | token) or self.fit(path[-1], token)):
                     best = (*path, token)
-                    if cut <= k:
-                        break
-                    for later in range(k + 1, size):
-                        if paths[later] is not None and data[later:] in self.openings:
-                            cut = later
-                            break
                     break
         paths = (*paths[cut:], best)
         alive = [p for p in paths if p is not None]
         first, shared = alive[0], 0
-        while all(len(p) > shared + 1 and p[shared] == first[shared] for p in alive):
-            shared += 1
-        if shared:
+        if len(alive) == 1:
+            shared = max(0, len(first) - 1)
+        else:
+            least = min(map(len, alive)) - 1
+            while shared < least and all([p[shared] == first[shared] for p in alive]):
+                shared += 1
+        if shared > 0:
             paths = tuple([None if p is None else p[shared:] for p in paths])
         return (data[cut:], paths), first[:shared]
 
@@ -152,22 +149,22 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self.steps.clear()
-            self.numbers.clear()
-            self.states.clear()
-            self.start = self._number(self.START)
+        if len(self.nodes) > MAX_STATES:
+            for node in self.nodes.values():  # nodes hold each other
+                node.clear()
+            self.nodes.clear()
+            self.start = self._node(self.START)
         out: list[int] = []
-        at, steps = self.start, self.steps
+        node = self.start
         for byte in data:
-            step = steps.get(at << 8 | byte)
+            step = node.get(byte)
             if step is None:
-                state, emitted = self._step(self.states[at], byte)
-                step = steps[at << 8 | byte] = (self._number(state), emitted)
-            at, emitted = step
+                state, emitted = self._step(node[-1], byte)
+                step = node[byte] = (self._node(state), emitted)
+            node, emitted = step
             if emitted:
                 out += emitted
-        return out + list(self.states[at][1][-1] or ())
+        return out + list(node[-1][1][-1] or ())
 
 
 class Remembered:
@@ -220,7 +217,7 @@ class Codec:
     def chunk(self, chunk: str) -> tuple[int, ...]:
         ids = self.chunks.older(chunk)
         if ids is None:
-            if chunk.isascii() and chunk.removeprefix(" ").isalpha():  # one match of the pattern
+            if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one match of the pattern
                 ids = tuple(self.machine.encode(chunk.encode()))
             else:
                 known = self.words.young.get
@@ -240,7 +237,7 @@ class Codec:
             return [i for word in self.split(text) for i in known(word) or self.word(word)]
         known = self.chunks.young.get
         chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else regex.split("(?= )", text, flags=regex.V1)
-        return [i for chunk in chunks for i in known(chunk) or self.chunk(chunk)]
+        return [i for chunk in chunks if chunk for i in known(chunk) or self.chunk(chunk)]
 
     def decode_bytes(self, ids: Iterable[int]) -> Iterator[bytes]:
         """The bytes of the ids, in pieces of bounded size."""
