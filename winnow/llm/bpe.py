@@ -12,7 +12,7 @@ Text is split by the pattern first; every match is run through the transducer, a
 Decoding. Bytes of the ids go through a UTF-8 state machine that accepts input in pieces of any size: a character
 that a piece cuts in two is held until the next piece, and bytes that are no UTF-8 become U+FFFD.
 
-Frequent matches are remembered from their second time on, in two halves: when the younger is full it becomes the older, so what is frequent stays. Each
+Matches are remembered, and chunks of text from their second time on, in two halves: when the younger is full it becomes the older, so what is frequent stays. Each
 worker of an executor has tables of its own, so all are bounded (``MAX_STATES``, ``MAX_FITS``, ``MAX_EDGES``, ``MAX_WORDS``), to about 220 MB
 together; results do not depend on that. Defined cases:
 null counts as empty; an empty text has no ids; the sha256 of nothing is that of the empty byte string.
@@ -35,8 +35,9 @@ from winnow.llm import workers
 MAX_STATES = 250_000
 MAX_FITS = 150_000
 MAX_EDGES = 20_000
+HEAD = 5  # bytes taken in one step
 MAX_WORDS = 120_000
-FILTER_BITS = 20  # of the filter that says which strings were met before
+FILTER = (1 << 20) - 1  # places of the filter that says which chunks were met before, from 0
 LONG_WORD = 64
 PIECE_TOKENS = 1 << 16
 #: The pattern of the public byte-level vocabularies (fixed value); others are matched over whole texts.
@@ -58,6 +59,8 @@ class Transducer:
         self.openings = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
         #: Each state's node: the state itself under -1, and by byte the next node and the tokens emitted on the way.
         self.nodes: dict[tuple, dict] = {}
+        #: Where frequent beginnings lead, in one step.
+        self.jumps: dict[bytes, tuple[dict, list[int]]] = {}
         self.fits: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         self.start = self._node(self.START)
@@ -153,9 +156,21 @@ class Transducer:
             for node in self.nodes.values():  # nodes hold each other
                 node.clear()
             self.nodes.clear()
+            self.jumps.clear()
             self.start = self._node(self.START)
-        out: list[int] = []
-        node = self.start
+        head = data[:HEAD]
+        jump = self.jumps.get(head)
+        if jump is None:
+            if len(self.jumps) >= MAX_EDGES:
+                self.jumps.clear()
+            jump = self.jumps[head] = self.walk(self.start, head, [])
+        node, out = jump
+        if len(data) > HEAD:
+            node, out = self.walk(node, data[HEAD:], out.copy())
+        return out + list(node[-1][1][-1] or ())
+
+    def walk(self, node: dict, data: bytes, out: list[int]) -> tuple[dict, list[int]]:
+        """The node that ``data`` leads to, and ``out`` with what is emitted on the way."""
         for byte in data:
             step = node.get(byte)
             if step is None:
@@ -164,35 +179,23 @@ class Transducer:
             node, emitted = step
             if emitted:
                 out += emitted
-        return out + list(node[-1][1][-1] or ())
+        return node, out
 
 
 class Remembered:
-    """Ids of frequent strings: kept from their second time on, in a younger and an older half."""
+    """Ids of strings in a younger and an older half, and a filter of what was met before."""
 
     def __init__(self):
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.met = bytearray(1 << FILTER_BITS)
-
-    def older(self, text: str) -> tuple[int, ...] | None:
-        ids = self.old.get(text)
-        if ids is not None:
-            self._keep(text, ids)
-        return ids
+        self.met = bytearray(FILTER + 1)
 
-    def offer(self, text: str, ids: tuple[int, ...]) -> None:
-        trace = hash(text) & (1 << FILTER_BITS) - 1
-        if self.met[trace] and len(text) <= LONG_WORD:
-            self._keep(text, ids)
-        self.met[trace] = 1
-
-    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
+    def keep(self, text: str, ids: tuple[int, ...]) -> None:
         if len(self.young) >= MAX_WORDS:
             # In place: whoever holds the younger half keeps holding it.
             self.old = dict(self.young)
             self.young.clear()
-            self.met = bytearray(1 << FILTER_BITS)
+            self.met = bytearray(FILTER + 1)
         self.young[text] = ids
 
 
@@ -208,21 +211,30 @@ class Codec:
         self.names = {i: str(i) for i in ranks.values()}
 
     def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.older(word)
+        seen = self.words
+        ids = seen.old.get(word)
         if ids is None:
             ids = tuple(self.machine.encode(word.encode("utf-8", "surrogatepass")))
-            self.words.offer(word, ids)
+        if len(word) <= LONG_WORD:
+            seen.keep(word, ids)
         return ids
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = self.chunks.older(chunk)
-        if ids is None:
-            if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one match of the pattern
-                ids = tuple(self.machine.encode(chunk.encode()))
-            else:
-                known = self.words.young.get
-                ids = tuple([i for word in self.split(chunk) for i in known(word) or self.word(word)])
-            self.chunks.offer(chunk, ids)
+        seen = self.chunks
+        ids = seen.old.get(chunk)
+        if ids is not None:
+            seen.keep(chunk, ids)
+            return ids
+        if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one match of the pattern
+            ids = tuple(self.machine.encode(chunk.encode()))
+        else:
+            known = self.words.young.get
+            ids = tuple([i for word in self.split(chunk) for i in known(word) or self.word(word)])
+        trace = hash(chunk) & FILTER
+        if not seen.met[trace]:
+            seen.met[trace] = 1
+        elif len(chunk) <= LONG_WORD:
+            seen.keep(chunk, ids)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
