@@ -157,6 +157,31 @@ def test_near_copies_in_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("rows,parts", [(512, None), (60, 5)])
+def test_links_in_a_dense_region(spark, monkeypatch, rows, parts):
+    """One template, a few words of it changed in each text: most pairs are just no links, and a region holds them all."""
+    draw, base = np.random.default_rng(12), " ".join(RANDOM.choice(WORDS) for _ in range(200)).split()
+    texts = []
+    for i in range(700):
+        words = list(base)
+        for at in draw.choice(200, int(draw.integers(2, 9)), replace=False):
+            words[at] = f"w{i}_{at}"
+        texts.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in texts]
+    links = [(i, j) for i in range(700) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    if parts:
+        monkeypatch.setattr(near_dedup, "ROWS_PER_PART", 700 * near_dedup.ORDERS // parts + 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 85).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    component = {r["doc_id"]: r["component_id"] for r in found}
+    whole = sum(component[i] == component[j] for i, j in links)
+    assert len(links) > 100 and whole >= 0.99 * len(links), (whole, len(links))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
