@@ -46,6 +46,8 @@ CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 _BYTES = [bytes([b]) for b in range(256)]
 #: A space before more white space or the end: there, cutting at single spaces would change the matches.
 _LOOSE = re.compile(r" (?=\s|\Z)")
+#: A word of Latin letters and at most a run of marks after it: one or two matches of the pattern.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!#$%&*,.:;?]*)\\Z")
 
 
 class Transducer:
@@ -225,8 +227,12 @@ class Codec:
         if ids is not None:
             seen.keep(chunk, ids)
             return ids
-        if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one match of the pattern
-            ids = tuple(self.machine.encode(chunk.encode()))
+        plain = _PLAIN.match(chunk)
+        if plain:
+            word, mark = plain.groups()
+            ids = seen.young.get(word) or seen.old.get(word) or tuple(self.machine.encode(word.encode()))
+            if mark:
+                ids += self.words.young.get(mark) or self.word(mark)
         else:
             known = self.words.young.get
             ids = tuple([i for word in self.split(chunk) for i in known(word) or self.word(word)])
