@@ -319,10 +319,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _named(ranks: dict[bytes, int], pattern: str) -> str:
+    """One name for one rank table and pattern: a worker that serves several jobs keeps one codec, not one for each."""
+    digest = hashlib.sha256(pattern.encode())
+    for token, rank in ranks.items():
+        digest.update(b"%d:%d:%b" % (rank, len(token), token))
+    return digest.hexdigest()
+
+
 def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """Documents with the ids of their texts."""
     workers.small_batches(docs.sparkSession)
-    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), workers.token()
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), _named(ranks, pattern)
 
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
@@ -336,7 +344,7 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: s
 def with_text(ids: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
     """Rows with the text that their ids stand for."""
     workers.small_batches(ids.sparkSession)
-    shared, name = ids.sparkSession.sparkContext.broadcast(ranks), workers.token()
+    shared, name = ids.sparkSession.sparkContext.broadcast(ranks), _named(ranks, pattern)
 
     @F.pandas_udf("string")
     def decoded(rows: pd.Series) -> pd.Series:
@@ -349,7 +357,7 @@ def with_text(ids: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: st
 def round_trips(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document: n_tokens, ids_sha256, decoded_sha256. Ids stay in the worker; only digests leave it."""
     workers.small_batches(docs.sparkSession)
-    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), workers.token()
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), _named(ranks, pattern)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digested(texts: pd.Series) -> pd.DataFrame:
@@ -371,7 +379,7 @@ def round_trips(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document: doc_id, ids, n_tokens, and whether decoding the ids gives the text again (null counts as empty)."""
     workers.small_batches(docs.sparkSession)
-    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), workers.token()
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), _named(ranks, pattern)
 
     @F.pandas_udf("ids array<int>, n_tokens long, round_trip boolean")
     def both_ways(texts: pd.Series) -> pd.DataFrame:
