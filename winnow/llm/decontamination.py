@@ -133,6 +133,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Documents without those that hold a benchmark window; columns as given."""
-    columns = docs.columns
-    return scan(docs, benchmark, width, into="_hits").where(F.size("_hits.words") == 0).select(*columns)
-
+    rows = docs.select(F.struct("*").alias("row"))  # whatever the columns are named
+    return scan(rows, benchmark, width, text_col="row.text", into="hits").where(F.size("hits.words") == 0).select("row.*")

@@ -184,5 +184,5 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Documents that score ``threshold`` or more; columns as given."""
-    columns = docs.columns
-    return with_score(docs, train(docs, labels), into="_score").where(F.col("_score") >= threshold).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"))  # whatever the columns are named
+    return with_score(rows, train(docs, labels), text_col="row.text", into="score").where(F.col("score") >= threshold).select("row.*")

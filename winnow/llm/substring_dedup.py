@@ -170,5 +170,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text_col: str = "text")
             out.append(None if null else text)
         return pd.Series(out, dtype=object)
 
-    marked = _with_spans(docs.withColumn("_null", F.col(text_col).isNull()), text_col, width)
-    return marked.withColumn(text_col, cut.asNondeterministic()("_z", "_spans", "_null")).select(*docs.columns)
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(text_col).alias("text"), F.col(text_col).isNull().alias("missing"), F.struct(*others or [F.lit(None)]).alias("row"))
+    whole = cut.asNondeterministic()("_z", "_spans", "missing")
+    return _with_spans(rows, "text", width).select(*[whole.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
