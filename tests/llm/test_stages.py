@@ -36,6 +36,20 @@ def test_one_row_of_each_group_stays(spark):
     assert found.columns == docs.columns
 
 
+def test_crowded_region(spark):
+    """Many texts of one template, several groups: the rounds for crowded regions run."""
+    words = TEXTS[3].split() * 2
+    texts = []
+    for k in range(60):
+        mine = words[:]
+        for at in DRAW.sample(range(len(mine)), 5 + k % 4):
+            mine[at] = f"x{k}y{at}"
+        texts.append(" ".join(mine))
+    docs = table(spark, [*enumerate(texts), *enumerate(texts)])
+    kept = {r["doc_id"] for r in near_dedup.near_duplicates(docs, 80).where("kept").collect()}
+    assert len(kept) > 1 and left(near_dedup.keep_one(docs)) == sorted([(i, texts[i]) for i in kept], key=repr)
+
+
 def test_of_equal_rows_one_stays(spark):
     a, b, *_ = TEXTS
     docs = table(spark, [(1, a), (2, b), (8, near(a))])
