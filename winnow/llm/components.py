@@ -11,30 +11,35 @@ from winnow.session import materialise
 def components(links: DataFrame, label: str = "links") -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has a link. ``links``: (a, b) of comparable ids.
 
-    Large-star and small-star steps by turns: every step rewires links to smaller ids, and stars are what remains. Aggregates and
-    joins only; each round is written to the shared folder, so a lost executor costs one round's reading.
+    In rounds: every id hooks onto its smallest neighbour if that is smaller, the trees so made are flattened, and links between different
+    trees become links of their roots. A round leaves far fewer ids with links, a chain of any length is one tree. Aggregates and joins
+    only; each round is written to the shared folder, so a lost executor costs one round's reading.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
+    known = None
+    while known is None or not edges.isEmpty():
+        trees = rooted(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), label)
+        known = trees if known is None else materialise(_moved(known, trees, "root").unionByName(trees), label)
+        edges = _moved(_moved(edges, trees, "a"), trees, "b").where("a <> b")
+        edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    low = known.select("id", F.col("root").alias("component"))
+    return low.unionByName(low.select(F.col("component").alias("id"), "component").distinct())
+
+
+def rooted(parents: DataFrame, label: str = "trees") -> DataFrame:
+    """(id, root) of a forest given as (id, root): parents that are smaller than their children. Each step triples how far up a row looks."""
+    parents = materialise(parents, label)
     while True:
-        edges = materialise(_small_star(_large_star(edges)), label)
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    low = edges.select("a", F.col("b").alias("component"))
-    return low.unionByName(low.select(F.col("component").alias("a"), "component")).distinct().withColumnRenamed("a", "id")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both_ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lows = both_ways.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both_ways.join(lows, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links a node's smaller neighbours, and the node, to the smallest of them."""
-    lows = edges.groupBy("a").agg(F.min("b").alias("low"))
-    others = edges.join(lows, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return others.unionByName(lows.withColumnRenamed("low", "b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        up = parents.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
+        once = parents.join(up, F.col("root") == F.col("_at"), "left").select("id", F.coalesce("_up", "root").alias("root"))
+        higher = once.join(up, F.col("root") == F.col("_at"), "left").select("id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("open"))
+        higher = materialise(higher, label)
+        parents = higher.select("id", "root")
+        if higher.where("open").isEmpty():
+            return parents
+
+
+def _moved(rows: DataFrame, trees: DataFrame, col: str) -> DataFrame:
+    """``rows`` with the ids in ``col`` replaced by their roots."""
+    roots = trees.select(F.col("id").alias(col), F.col("root").alias("_root"))
+    return rows.join(roots, col, "left").select(*[F.coalesce("_root", col).alias(c) if c == col else c for c in rows.columns])
