@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -270,6 +271,45 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge(pages.where("page_id = 5")).collect()} == {"allow"}
 
 
+def test_url_verdicts_on_held_out_rules(spark):
+    """Rows of every rule that were learned from nowhere; the rules tell paths of one suffix apart, so a suffix alone cannot be right."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = url_filter.judge(pages, held_out=F.pmod(F.crc32(F.concat("host", "path")), F.lit(4)) == 0).where("rule IS NOT NULL AND block_score IS NOT NULL").toPandas()
+    right = (found["block_score"] >= 0.5) == (found["verdict"] == "block")
+    by_rule = right.groupby(found["rule"]).mean()
+    assert len(by_rule) == 4 and len(found) > 200 and by_rule.min() >= 0.9
+
+
+def test_url_statistics_leave_out_the_own_fold(spark):
+    given = [(i, "a.com" if i % 3 else "b.org", i % 5, "block" if i % 2 else "allow", i % 7 != 0) for i in range(60)]
+    rows = spark.createDataFrame(given, "i long, _suffix string, _fold int, _given string, _learn boolean")
+    share = sum(g == "block" for *_, g, learn in given if learn) / sum(g[4] for g in given)
+    found = {r["i"]: r for r in url_filter._statistics(rows, "_suffix", "suffix").collect()}
+    for i, key, at, _, learn in given:
+        others = [g for _, k, f, g, known in given if known and k == key and not (learn and f == at)]
+        expected = (others.count("block") + url_filter.PRIOR * share) / (len(others) + url_filter.PRIOR)
+        assert found[i]["suffix_blocked"] == pytest.approx(expected) and found[i]["suffix_support"] == pytest.approx(np.log1p(len(others)))
+
+
+def test_urls_agree_with_sql(spark):
+    """Host, path, rule and ruled verdicts; the rest is the trees' word."""
+    sql = """
+    WITH parts AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+                   FROM '/root/testdata/sf0.01/pages.parquet'),
+    hosts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+    rules(name, prefix) AS (VALUES ('net', '/'), ('example.net', '/en/'), ('example.com', '/de/'), ('org', '/fr/')),
+    fits AS (SELECT page_id, max_by(name || prefix, length(name || prefix)) AS rule FROM hosts, rules
+             WHERE (host = name OR suffix(host, '.' || name)) AND prefix(path, rules.prefix) GROUP BY page_id)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict
+    FROM hosts LEFT JOIN fits USING (page_id)"""
+    expected = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    found = url_filter.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        *same, verdict = expected[r["page_id"]]
+        assert [r["host"], r["path"], r["rule"]] == same and (verdict is None or r["verdict"] == verdict)
+
+
 def fold(text):
     return "".join(c if "0" <= c <= "9" or "a" <= c <= "z" or c >= "\x80" else c.lower() if "A" <= c <= "Z" else " " for c in text or "").split()
 
