@@ -4,9 +4,10 @@ Benchmark items are normalised (A-Z lower-cased, runs of other ASCII than letter
 windows of ``width`` words (shorter items are one window), and compiled into an automaton. Every document is normalised
 alike and scanned once; hits are mapped to words, and to byte spans of the original text.
 
-The benchmark is a curated table, but its size is still checked: it is cut into blocks of at most ``BLOCK_BYTES`` of text, each
-block is one broadcast automaton, and the word spans of all blocks are united per document. So what a task holds is
-bounded, and usually there is one block and one scan.
+The benchmark is a curated table, but its size is still checked: it is cut into blocks of at most ``BLOCK_BYTES`` of text. Usually there is one
+block, one automaton and one scan. Of several blocks each is a pass of its own over the stored texts, which writes the documents it hits; the
+word spans of all passes are united per document. So a worker holds one automaton and builds it once a pass, and time is in
+proportion to the blocks.
 
 Defined cases: a null or empty text has no words and no hits; a benchmark text without words gives no window; repeated items
 and equal windows of several items count for every item; an item without id counts as ``null``; an empty benchmark hits
@@ -15,13 +16,17 @@ nothing. Documents' further columns are kept by ``scan`` and not read.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import workers
+from winnow.session import materialise
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -30,6 +35,7 @@ BLOCK_BYTES = 16 << 20
 _FOLD = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
+_LISTS = ("words", "starts", "ends", "items")
 _SCAN = "n_words long, words array<int>, starts array<int>, ends array<int>, items array<string>"
 
 
@@ -89,13 +95,15 @@ def scan_text(machine: ahocorasick.Automaton, text: str | None):
     return len(words), numbers.tolist(), edges[0::2][numbers].tolist(), edges[1::2][numbers].tolist(), sorted(items)
 
 
-def _scanner(shared, name: str):
+def _scanner(spark: SparkSession, block: dict[bytes, set[str]]):
+    shared, name = spark.sparkContext.broadcast(block), workers.token()
+
     @F.pandas_udf(_SCAN)
     def scanned(texts: pd.Series) -> pd.DataFrame:
-        machine = workers.once(name, lambda: automaton_of(shared.value))
+        machine = workers.once(name, lambda: automaton_of(shared.value), most=1)
         return pd.DataFrame([scan_text(machine, t) for t in texts], columns=["n_words", "words", "starts", "ends", "items"])
 
-    return scanned
+    return scanned.asNondeterministic()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id",
@@ -103,21 +111,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: st
     """Documents with a struct ``into``: n_words, hit words with their byte spans in the original text, and items."""
     spark = docs.sparkSession
     workers.small_batches(spark)
-    parts = []
-    for number, block in enumerate(blocks(benchmark, item_col, item_text_col, width)):
-        scanned = _scanner(spark.sparkContext.broadcast(block), workers.token())
-        parts.append(f"_{into}_{number}")
-        docs = docs.withColumn(parts[-1], scanned.asNondeterministic()(F.col(text_col)))
-    if len(parts) == 1:
-        return docs.withColumnRenamed(parts[0], into)
-    if not parts:
-        @F.pandas_udf(_SCAN)
-        def counted(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([(len(words_of(t)), [], [], [], []) for t in texts], columns=["n_words", "words", "starts", "ends", "items"])
-
-        return docs.withColumn(into, counted.asNondeterministic()(F.col(text_col)))
-    united = [F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{p}.{f}" for p in parts])))).alias(f) for f in ("words", "starts", "ends", "items")]
-    return docs.withColumn(into, F.struct(F.col(f"{parts[0]}.n_words"), *united)).drop(*parts)
+    passes = blocks(benchmark, item_col, item_text_col, width)
+    first, second = next(passes, {}), next(passes, None)
+    if second is None:
+        return docs.withColumn(into, _scanner(spark, first)(F.col(text_col)))
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at"))
+    rows = materialise(rows, "texts")  # so that a row keeps its number
+    found = [materialise(rows.select("at", _scanner(spark, first)("text").alias("h")), "hits")]  # of every row, for the number of words
+    for block in itertools.chain([second], passes):
+        hits = rows.select("at", _scanner(spark, block)("text").alias("h")).where(F.size("h.words") > 0)
+        found.append(materialise(hits, "hits"))
+    hits = functools.reduce(DataFrame.unionByName, found).groupBy("at").agg(
+        F.max("h.n_words").alias("n_words"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"h.{f}")))).alias(f) for f in _LISTS])
+    return rows.drop("text").join(hits.select("at", F.struct("n_words", *_LISTS).alias("h")), "at").select("row.*", F.col("h").alias(into))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

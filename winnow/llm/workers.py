@@ -16,9 +16,10 @@ def token() -> str:
     return uuid.uuid4().hex
 
 
-def once(name: str, build: Callable[[], Any]) -> Any:
+def once(name: str, build: Callable[[], Any], most: int = 4) -> Any:
+    """What ``build`` gives, kept under ``name`` as one of ``most`` things at a time."""
     if name not in _kept:
-        if len(_kept) >= 4:
+        if len(_kept) >= most:
             _kept.clear()
         _kept[name] = build()
     return _kept[name]
