@@ -1,6 +1,7 @@
 """Tests of deltas, grouped shuffles, clusters of columns, pruning and the other selection methods."""
 
 import random
+import threading
 from math import comb
 
 import numpy as np
@@ -230,3 +231,23 @@ def test_greedy_search_and_tests_by_settings(spark, sf):
     assert rows["sum_qty"]["significant"] and rows["sum_qty"]["group"] == rows["n_lines"]["group"] and rows["acct_bal"]["group"] == "acct_bal"
     assert {r["model"] for r in done.tables["models"].collect()} == {"all_features", "fs_filtered"}
     assert all(r["significant"] or r["feature"] == r["group_representative"] for r in rows.values() if r["passes"])
+
+
+def test_rounds_that_cannot_decide_run_side_by_side(spark):
+    early = next(r for r, n in enumerate(baselines.needed_hits(12, 2, 0.5), start=1) if n <= r)
+    assert early == 2
+    together = threading.Barrier(early, timeout=30)
+
+    def measure(active, number):
+        if number <= early:
+            together.wait()
+        return spark.createDataFrame([(f, 1.0 if f == "a" else 0.0, 0.5) for f in active], "feature string, importance double, shadow double")
+
+    found = {r["feature"]: (r["status"], r["decided_run"]) for r in baselines.boruta(spark, ["a", "b"], measure, runs=12, alpha=0.5).collect()}
+    assert found == {"a": ("confirmed", early), "b": ("rejected", early)}
+
+
+def test_training_tasks_follow_the_rows(spark, rows):
+    with boosting.training_rows(rows, ["plain", "left"], "label", "row_key") as (held, _):
+        assert held.rdd.getNumPartitions() == 1
+    assert [boosting._parts_for(n) for n in (0, 90_000, 540_000, 32_000_000)] == [1, 2, 11, 128]
