@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.operators import cleaning, encoding, importance, metrics, sampling, splitting
+from winnow.plans import matrices
 from winnow.plans.matrices import orders_matrix
 
 
@@ -62,3 +63,11 @@ def test_filters_and_columns_reach_the_scan(orders):
     text = plan(kept)
     assert "In(n_lines, [1,2])" in text
     assert "ReadSchema: struct<n_lines:bigint>" in text
+
+
+def test_cents_are_added_as_longs_and_exact(spark):
+    values = [0.07, 1.005, -1.005, 0.285, 2.675, 1.115, 33.335, 901.0, 12_345_678_901_234.57, 99_999_999_999_999.99, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "g int, v double")
+    found = rows.groupBy("g").agg(matrices._cents("v").alias("new"), F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("old"))
+    assert all(r["new"] == r["old"] for r in found.collect())
+    assert "partial_sum(cast(v" not in plan(rows.groupBy("g").agg(matrices._cents("v")))
