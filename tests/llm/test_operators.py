@@ -183,6 +183,43 @@ def test_links_in_a_dense_region(spark, monkeypatch, rows, parts):
     assert len(links) > 100 and whole >= 0.99 * len(links), (whole, len(links))
 
 
+@pytest.mark.parametrize("rows", [2_048, 200])
+def test_no_link_of_a_crowded_region_is_left_out(spark, monkeypatch, rows):
+    """1,000 texts of one template, every two of them just no link (0.815); 80 more have one link each (0.858), hidden among them."""
+    base = " ".join(RANDOM.choice(WORDS) for _ in range(200)).split()
+    texts = []
+    for i in range(1_080):
+        words = list(base)
+        for at in (20, 60, 100, 140):
+            words[at] = f"w{i - 1_000 if i >= 1_000 and at == 60 else i}_{at}"
+        texts.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "ROWS_PER_PART", rows)
+    found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 85)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i % 1_000 for i in range(1_080)}
+
+
+def test_shared_shingles_and_forest():
+    draw = np.random.default_rng(4)
+    words = draw.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(draw.choice(words, draw.integers(1, 200))) for _ in range(90)]
+    counts = np.array([[len(np.intersect1d(a, b)) * (a is not b) for b in sets] for a in sets])
+    found = near_dedup.shared_counts(sets, 0)
+    assert (np.where(np.eye(90, dtype=bool), 0, found) == counts).all() and (near_dedup.shared_counts(sets, 30) == counts[:30, 30:]).all()
+    linked = draw.random((90, 90)) < 0.01
+    linked = (linked | linked.T) & ~np.eye(90, dtype=bool)
+    i, j = near_dedup.forest(linked)
+    one, other = ([*zip(i.tolist(), j.tolist())], [*zip(*np.nonzero(linked))])
+    assert linked[i, j].all() and len(i) < 90 and _lowest(90, one) == _lowest(90, other)
+
+
+def _lowest(count, links):
+    low = list(range(count))
+    for _ in range(count):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

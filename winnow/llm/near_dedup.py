@@ -1,19 +1,15 @@
-"""Near-duplicates by an LSH forest of sorted signature orders.
+"""Near-duplicates by MinHash: 16 bands of 4 values name the candidates, full sets confirm them.
 
-Documents with equal shingle sets are one class from the start. A class has 64 minhash values; ``ORDERS`` orders sort all
-classes by the signature read from another place on, as far as ``DEPTH`` values. Classes next to each other in an order share the longest
-prefixes, so every class takes the ``NEAR`` that follow it there, as deep as its region is dense, down to a common prefix of ``LEAST``
-values. Each order is one range-sorted shuffle; a region with a third of all rows is cut by the sort like any other, and the rows at a
-cut are compared afterwards, cut by cut.
+Documents with equal shingle sets are one class from the start. A class has 64 minhash values; each of ``ORDERS`` bands of ``LEAST`` values puts it
+into one region, and all classes of a region are candidates of each other, however many they are.
 
-Neighbours whose 4-bit signatures cannot reach the similarity (more than five standard deviations short) or whose set sizes rule it out are
-dropped; the others are confirmed on full sets. First every class is confirmed against its best candidate; of the other pairs only
-those between different components are needed.
+Regions of at most ``FEW`` classes give their pairs by a join; a pair is confirmed once. Larger regions, the crowded ones, never become rows of pairs: a region is
+cut into parts of about ``ROWS_PER_PART`` classes (or ``SHINGLES_PER_PART`` shingles), a task takes two parts with their full sets, counts the shingles that
+every two of their classes share, and gives the links that join what all links there join, at most one for each class.
 
-A region of more than ``NEAR`` classes that share ``LEAST`` values is crowded: there the nearest may hide a link. Only classes of crowded regions that
-hold several components by then are looked at again, in rounds: each round draws new orders for them (other places of the signature come first), looks at ``WIDE``
-neighbours of other components and takes the ``BEST`` most similar by 4-bit values. Rounds go on until ``QUIET`` in a row find no new
-link, so denser regions get more orders.
+The regions of the first ``FIRST`` bands are compared part by part; that joins most of what is linked at all. Of the other crowded regions, and of those with
+several parts, only what is not one component by then is left: there, every two parts are compared that are not of one and the same component, so no pair of a region is
+left out. Parts hold whole components where these are small enough. This is quadratic only in what shares a region without being linked.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing (component: itself); fewer than five words are one
 shingle; repeated rows are equal sets and link; a row without id takes part in links but cannot name a component; ties cannot
@@ -22,23 +18,21 @@ arise, as only the smallest id counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import workers
-from winnow.llm.components import components, rooted
-from winnow.llm.shingles import shingle_set
+from winnow.llm.components import components
+from winnow.llm.shingles import mixed, shingle_set
 from winnow.session import materialise
 
-VALUES, ORDERS, DEPTH, LEAST, NEAR = 64, 16, 8, 4, 6
-WIDE, BEST, QUIET = 96, 6, 1
-ROWS_PER_PART = 100_000
+VALUES, ORDERS, LEAST = 64, 16, 4
+FEW, FIRST = 8, 4
+ROWS_PER_PART, SHINGLES_PER_PART = 2_048, 2_000_000
+SPARSE, COLUMNS = 32, 2_048
 _DRAW = np.random.default_rng(20240229)
 _TIMES = _DRAW.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _DRAW.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -52,136 +46,100 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(">u2")
 
 
-def fewest_matches(percent: int) -> int:
-    """Equal 4-bit values of 64 that a pair at the threshold still has, but for five and a half standard deviations."""
-    p = percent / 100 + (1 - percent / 100) / 16
-    return int(VALUES * p - 5.5 * (VALUES * p * (1 - p)) ** 0.5)
+def regions_of(sig: np.ndarray) -> np.ndarray:
+    """One number per band: classes with the same number share the band's values (or, by a rare chance, are compared without need)."""
+    return mixed(sig.view(">u8").astype(np.uint64) + np.arange(ORDERS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def signed(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, *more, n_shingles, class, sig): class is a digest of the full set, null for empty sets."""
-    @F.pandas_udf("n long, class binary, sig binary")
+    """(doc_id, *more, n_shingles, class, regions): class is a digest of the full set, null for empty sets."""
+    @F.pandas_udf("n long, class binary, regions array<long>")
     def digested(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             found = shingle_set(text)
-            rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found).tobytes()) if len(found) else (0, None, None))
-        return pd.DataFrame(rows, columns=["n", "class", "sig"])
+            rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), regions_of(signature(found))) if len(found) else (0, None, None))
+        return pd.DataFrame(rows, columns=["n", "class", "regions"])
 
     rows = docs.select("doc_id", *more, digested.asNondeterministic()("text").alias("d"))
-    return rows.select("doc_id", *more, F.col("d.n").alias("n_shingles"), F.col("d.class").alias("class"), F.col("d.sig").alias("sig"))
-
-
-def _nibbles(sig: np.ndarray) -> np.ndarray:
-    low = (sig.astype(np.uint16) & 15).astype(np.uint8)
-    return low[:, 0::2] << 4 | low[:, 1::2]
-
-
-def _in_orders(seed: int):
-    """Every class in all orders; each seed reads the signature's places in an order of its own."""
-    places = np.random.default_rng(seed).permutation(VALUES) if seed else np.arange(VALUES)
-
-    def orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                sig = np.frombuffer(b"".join(batch["sig"]), dtype=">u2").reshape(-1, VALUES)
-                packed, sig = _nibbles(sig), sig[:, places]
-                turned = np.concatenate([sig, sig[:, :DEPTH]], axis=1)
-                for order in range(ORDERS):
-                    first = order * (VALUES // ORDERS)
-                    yield pd.DataFrame({"o": order, "k": [r.tobytes() for r in np.ascontiguousarray(turned[:, first:first + DEPTH])], "s": [r.tobytes() for r in packed],
-                                        "n": batch["n"].to_numpy(), "id": batch["id"].to_numpy(), "c": batch["c"].to_numpy()})
-    return orders
-
-
-class _Sorted:
-    """Rows of one stretch of the orders as arrays."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.o, self.n = rows["o"].to_numpy(), rows["n"].to_numpy()
-        self.k = np.frombuffer(b"".join(rows["k"]), dtype=np.uint8).reshape(-1, 2 * DEPTH)[:, :2 * LEAST]
-        self.s = np.frombuffer(b"".join(rows["s"]), dtype=np.uint8).reshape(-1, VALUES // 2)
-        self.id, self.c = rows["id"].to_numpy(), rows["c"].to_numpy()
-        region = np.concatenate([[True], (self.o[1:] != self.o[:-1]) | (self.k[1:] != self.k[:-1]).any(axis=1)])
-        starts = np.flatnonzero(region)
-        self.after = np.repeat(np.append(starts[1:], len(region)), np.diff(np.append(starts, len(region))))  # where a row's region ends
-        self.size = self.after - np.repeat(starts, np.diff(np.append(starts, len(region))))
-        self.codes = np.unique(self.c, return_inverse=True)[1]
-
-    def pairs(self, percent: int, reach: int, others: bool, since: int = 0) -> pd.DataFrame:
-        """(a, b, equal): neighbours at most ``reach`` apart worth confirming, the later one at ``since`` or after it; ``others``: of other components, the
-        most similar ones of each. With equal of -1: classes (a) in crowded regions (b)."""
-        at, found = np.arange(len(self.o)), []
-        near_i, near_j, near_equal = [], [], []
-        for by in range(1, min(reach, len(at) - 1) + 1):
-            i = at[(at + by < self.after) & (at + by >= since)]
-            if not len(i):
-                continue
-            j = i + by
-            small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-            good = 100 * small >= percent * large
-            if others:
-                good &= self.codes[i] != self.codes[j]
-            i, j = i[good], j[good]
-            apart = self.s[i] ^ self.s[j]
-            equal = ((apart & 15) == 0).sum(axis=1) + ((apart >> 4) == 0).sum(axis=1)
-            good = equal >= fewest_matches(percent)
-            near_i.append(i[good]), near_j.append(j[good]), near_equal.append(equal[good])
-        if near_i:
-            i, j, equal = (np.concatenate(side) for side in (near_i, near_j, near_equal))
-            if others:
-                order = np.lexsort((j - i, -equal, i))
-                first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]])) if len(i) else np.empty(0, dtype=int)
-                place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                chosen = order[place < BEST]
-                i, j, equal = i[chosen], j[chosen], equal[chosen]
-            found.append(pd.DataFrame({"a": self.id[i], "b": self.id[j], "equal": equal}))
-        if not others:
-            mark = np.flatnonzero(self.size > NEAR)
-            regions = [int(o).to_bytes(1, "big") + k.tobytes() for o, k in zip(self.o[mark], self.k[mark])]
-            found.append(pd.DataFrame({"a": self.id[mark], "b": regions, "equal": -1}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "equal": []})
-
-
-_ROW = "o int, k binary, s binary, n long, id binary, c binary"
-_FOUND = f"a binary, b binary, equal int, cut int, {_ROW}"
-
-
-def candidates(classes: DataFrame, percent: int, seed: int = 0, reach: int = NEAR, others: bool = False) -> DataFrame:
-    """(a, b, equal): distinct neighbours in any order; equal of -1 names a class and a crowded region of it. ``classes``: (id, n, sig, c), c the component known so far.
-
-    Rows within ``reach`` of a cut between two tasks are looked at once more, together with those on the other side.
-    """
-    rows = classes.mapInPandas(_in_orders(seed), _ROW)
-    parts = max(1, -(-classes.count() * ORDERS // ROWS_PER_PART))
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, tail, head = TaskContext.get().partitionId(), None, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            if head is None or len(head) < reach:
-                head = batch.head(reach) if head is None else pd.concat([head, batch.head(reach - len(head))])
-            yield _Sorted(rows).pairs(percent, reach, others, since=0 if tail is None else len(tail)).reindex(columns=_columns(_FOUND))
-            tail = rows.tail(reach)
-        if head is not None:
-            yield head.assign(cut=task - 1).reindex(columns=_columns(_FOUND))
-            yield tail.assign(cut=task).reindex(columns=_columns(_FOUND))
-
-    def ends(rows: pd.DataFrame) -> pd.DataFrame:
-        return _Sorted(rows.sort_values(["o", "k", "id"], ignore_index=True)).pairs(percent, reach, others)
-
-    found = materialise(rows.repartitionByRange(parts, "o", "k", "id").sortWithinPartitions("o", "k", "id").mapInPandas(look, _FOUND), "neighbours")
-    cuts = found.where("a IS NULL").select("cut", *_columns(_ROW)).groupBy("cut").applyInPandas(ends, "a binary, b binary, equal int")  # 2 * reach rows each
-    pairs = found.where("a IS NOT NULL").select("a", "b", "equal").unionByName(cuts)
-    marks = pairs.where("equal < 0").distinct()
-    pairs = pairs.where("equal >= 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("equal").alias("equal"))
-    return pairs if others else pairs.unionByName(marks)
-
-
-def _columns(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+    return rows.select("doc_id", *more, F.col("d.n").alias("n_shingles"), F.col("d.class").alias("class"), F.col("d.regions").alias("regions"))
+
+
+def shared_counts(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """How many shingles each of the first ``cut`` sets shares with each of the others; with ``cut`` of 0: every set with every other."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    rows, values = rows[order], values[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    sizes = np.diff(np.append(starts, len(values)))
+    size, column = np.repeat(sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    high, wide = cut or len(sets), len(sets) - cut
+    out = np.zeros((high, wide), dtype=np.int32)
+    # A shingle of few sets: their pairs. Rows ascend within a column.
+    few = (size > 1) & (size <= SPARSE)
+    r, c = rows[few], column[few]
+    for by in range(1, SPARSE):
+        same = np.flatnonzero(c[by:] == c[:-by])
+        if not len(same):
+            break
+        i, j = r[same], r[same + by]
+        if cut:
+            across = (i < cut) & (j >= cut)
+            i, j = i[across], j[across] - cut
+        out += np.bincount(i * wide + j, minlength=high * wide).reshape(high, wide).astype(np.int32)
+    if not cut:
+        out += out.T.copy()
+    # A shingle of many: a column of zeros and ones.
+    many = size > SPARSE
+    r, c = rows[many], np.unique(column[many], return_inverse=True)[1]
+    for low in range(0, int(c.max()) + 1 if len(c) else 0, COLUMNS):
+        at = slice(*np.searchsorted(c, [low, low + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        held[r[at], c[at] - low] = 1
+        out += (held[:high] @ held[cut:].T).astype(np.int32)
+    return out
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of a symmetric matrix that join what all its links join, at most one for each row."""
+    left, ones, others = linked.any(axis=1), [], []
+    while left.any():
+        front = np.array([left.argmax()])
+        left[front] = False
+        while len(front):
+            reach = linked[front] & left
+            new = np.flatnonzero(reach.any(axis=0))
+            ones.append(front[reach[:, new].argmax(axis=0)] if len(new) else new), others.append(new)
+            left[new] = False
+            front = new
+    none = np.empty(0, dtype=int)
+    return np.concatenate([none, *ones]), np.concatenate([none, *others])
+
+
+def linked_in(sets: list[np.ndarray], component: np.ndarray, cut: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different components that join what all such links join: among all sets, or (``cut``) from the first ones to the others."""
+    size, linked = np.array([len(s) for s in sets], dtype=np.int64), np.zeros((len(sets), len(sets)), dtype=bool)
+    shared = shared_counts(sets, cut)
+    for i in range(len(shared)):
+        both = shared[i].astype(np.int64)
+        linked[i, cut:] = (100 * both >= percent * (size[i] + size[cut:] - both)) & (component[i] != component[cut:])
+    return forest(linked | linked.T if cut else linked)
+
+
+def compared(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the classes of two parts of a region. ``parts``: (region, x, y, part, id, c), part one of x and y, c the component known so far."""
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows["x"].iat[0], rows["y"].iat[0]
+        if x != y:
+            rows = pd.concat([rows[rows["part"] == x], rows[rows["part"] == y]], ignore_index=True)
+        cut = 0 if x == y else int((rows["part"] == x).sum())
+        i, j = linked_in([np.frombuffer(s, dtype=np.uint64) for s in rows["set"]], pd.factorize(rows["c"])[0], cut, percent)
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+
+    rows = parts.join(sets, "id")
+    return rows.groupBy("region", "x", "y").applyInPandas(links, "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,6 +148,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                out.append(False)
+                continue
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -210,9 +171,24 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.where(F.col("d.class") == F.col("id")).select("id", F.col("d.set").alias("set")).dropDuplicates(["id"])
 
 
-def _stars(known: DataFrame) -> DataFrame:
-    """Components as links to their smallest member: they join what the links so far join, in one step."""
-    return known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+def _parts(rows: str, shingles: str):
+    return F.ceil(F.greatest(F.col(rows) / ROWS_PER_PART, F.col(shingles) / SHINGLES_PER_PART))
+
+
+def unsettled(crowded: DataFrame, known: DataFrame) -> DataFrame:
+    """What ``compared`` takes: every two parts of crowded regions, but for those of one component. ``crowded``: (region, id, n, m, w)."""
+    rows = crowded.join(known, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    open_ = rows.groupBy("region").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("region")
+    rows = materialise(rows.join(open_, "region").select("region", "id", "c", "n", "m", "w"), "open")
+    sizes = rows.groupBy("region", "c").agg(F.count("*").alias("_rows"), F.sum("n").alias("_shingles"), F.first("m").alias("m"), F.first("w").alias("w"))
+    sizes = sizes.select("region", "c", _parts("_rows", "_shingles").alias("_own"), _parts("m", "w").alias("_all"))
+    part = F.when(F.col("_own") > 1, F.xxhash64("c", F.pmod(F.xxhash64("id"), "_own"))).otherwise(F.pmod(F.xxhash64("c"), "_all"))
+    rows = materialise(rows.join(sizes, ["region", "c"]).select("region", part.alias("part"), "id", "c"), "parts")
+    parts = rows.groupBy("region", "part").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    one, other = (parts.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "low", "high")]) for side in "xy")
+    two = one.join(other, "region").where("part_x <= part_y AND NOT (low_x = high_x AND low_y = high_y AND low_x = low_y)")
+    two = two.select("region", F.col("part_x").alias("x"), F.col("part_y").alias("y"), F.explode(F.array_distinct(F.array("part_x", "part_y"))).alias("part"))
+    return two.join(rows, ["region", "part"]).select("region", "x", "y", "part", "id", "c")
 
 
 def grouped(docs: DataFrame, percent: int, *carried: str) -> DataFrame:
@@ -220,34 +196,24 @@ def grouped(docs: DataFrame, percent: int, *carried: str) -> DataFrame:
     workers.small_batches(docs.sparkSession)
     rows = materialise(signed(docs, *carried), "signatures")
     classes = materialise(rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("class").alias("id")).agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    seen = materialise(candidates(classes.withColumn("c", F.col("id")), percent), "candidates")
-    found, crowded = seen.where("equal >= 0"), seen.where("equal < 0").select(F.col("a").alias("id"), F.col("b").alias("region"))
-    ids = found.select(F.col("a").alias("id")).union(found.select("b")).union(crowded.select("id")).distinct()
-    sets = materialise(full_sets(docs, classes.join(ids, "id").select("id", "doc_id")), "sets")
-
-    best = found.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
-    links = materialise(confirmed(best, sets, percent), "links")
-    known = rooted(links.select(F.col("b").alias("id"), F.col("a").alias("root"))).withColumnRenamed("root", "component")  # a < b: a forest
-    left, right = (known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    rest = found.select("a", "b").join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
-    rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)")
-    known = materialise(components(_stars(known).unionByName(confirmed(rest, sets, percent))), "components")
-    # A crowded region that is one component by now has nothing to hide.
-    placed = crowded.join(known, "id", "left").select("id", "region", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("region").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("region")
-    wanted = crowded.join(mixed, "region").select("id").distinct()
-    again = materialise(classes.join(wanted, "id").select("id", "n", "sig"), "crowded")
-    tried, seed, quiet = found.select("a", "b"), 0, 0
-    while quiet < QUIET and not again.isEmpty():
-        seed += 1
-        dense = again.join(known, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("c"))
-        more = candidates(dense, percent, seed, WIDE, others=True).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        more = materialise(more, "candidates")
-        new = materialise(confirmed(more, sets, percent), "links")
-        quiet, tried = quiet + 1, tried.unionByName(more)
-        if not new.isEmpty():
-            known, quiet = materialise(components(_stars(known).unionByName(new)), "components"), 0
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regions").alias("regions")), "classes")
+    members = classes.select("id", "n", F.posexplode("regions").alias("band", "region"))
+    shared = materialise(members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1"), "regions")
+    members = materialise(members.join(shared, "region"), "members")
+    few, crowded = members.where(F.col("m") <= FEW), members.where(F.col("m") > FEW)
+    left, right = (few.select("region", F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = left.join(right, "region").where(f"a < b AND 100 * least(na, nb) >= {int(percent)} * greatest(na, nb)").select("a", "b").distinct()
+    sets = materialise(full_sets(docs, classes.join(members.select("id").distinct(), "id").select("id", "doc_id")), "sets")
+    links = confirmed(pairs, sets, percent)
+    part = F.pmod(F.xxhash64("id"), _parts("m", "w"))
+    first = crowded.where(F.col("band") < FIRST).select("region", *[part.alias(c) for c in ("x", "y", "part")], "id", F.col("id").alias("c"))
+    known = materialise(components(links.unionByName(compared(first, sets, percent))), "components")
+    rest = crowded.where((F.col("band") >= FIRST) | (_parts("m", "w") > 1))
+    new = materialise(compared(unsettled(rest, known), sets, percent), "links")
+    if not new.isEmpty():
+        # Components as links to their smallest member join what the links so far join, in one step.
+        stars = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        known = materialise(components(stars.unionByName(new)), "components")
 
     return rows.select("doc_id", *carried, "n_shingles", "class").join(known.withColumnRenamed("id", "class"), "class", "left").select(
         "doc_id", *carried, "n_shingles", F.coalesce("component", "class").alias("_group"))
