@@ -466,6 +466,24 @@ def test_bpe_tables_stay_bounded(monkeypatch):
         assert all(len(half) <= 40 for seen in (codec.words, codec.chunks) for half in (seen.young, seen.old))
 
 
+def test_bpe_keeps_its_states_when_full(monkeypatch):
+    """A few rare words beyond the bound do not cost the states of the frequent ones; many of them do."""
+    monkeypatch.setattr(bpe, "MAX_STATES", 60)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    machine = bpe.Transducer(RANKS)
+    first = [w.encode() for w in ("bersantinokol", "kolamiturebers", "zzqxvbnm")]
+    for word in first:
+        machine.encode(word)
+    kept, draw = dict(machine.nodes), random.Random(8)
+    rare = ["".join(draw.choice("qwxzvkj") for _ in range(14)) for _ in range(30)]
+    for k, word in enumerate(rare):
+        assert machine.encode(word.encode()) == other.encode_ordinary(word)
+        assert len(machine.nodes) <= 60 and machine.passing <= 60 + 2 * len(word)
+        if k < 4:
+            assert all(machine.nodes.get(state) is node for state, node in kept.items())
+    assert any(state not in machine.nodes for state in kept)
+
+
 def test_utf8_by_single_bytes():
     raw = bytes(RANDOM.randrange(256) for _ in range(5_000)) + "é你\U0001f600".encode()
     reader = bpe.Utf8()

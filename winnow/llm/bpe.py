@@ -65,6 +65,8 @@ class Transducer:
         self.jumps: dict[bytes, tuple[dict, list[int]]] = {}
         self.fits: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        #: Steps made since the states are full; those are not kept.
+        self.passing = 0
         self.start = self._node(self.START)
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -154,7 +156,8 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.nodes) > MAX_STATES:
+        if self.passing > MAX_STATES:  # what is met now is not what the kept states were made for
+            self.passing = 0
             for node in self.nodes.values():  # nodes hold each other
                 node.clear()
             self.nodes.clear()
@@ -177,7 +180,11 @@ class Transducer:
             step = node.get(byte)
             if step is None:
                 state, emitted = self._step(node[-1], byte)
-                step = node[byte] = (self._node(state), emitted)
+                if len(self.nodes) < MAX_STATES:
+                    step = node[byte] = (self._node(state), emitted)
+                else:
+                    self.passing += 1
+                    step = self.nodes.get(state) or {-1: state}, emitted
             node, emitted = step
             if emitted:
                 out += emitted
