@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from winnow.plans import config
-from winnow.plans.experiment import compute_artifacts, run_experiment
+from winnow.operators import boosting
+from winnow.operators.metrics import metrics_by_split
+from winnow.plans import config, experiment
+from winnow.plans.experiment import compute_artifacts, run_experiment, train_eval_sets
 from winnow.plans.matrices import orders_matrix
 from winnow.session import scratch_path
 from winnow.sources.registry import Dataset
@@ -80,3 +82,46 @@ def test_overrides_merge_with_defaults():
     assert rules["moderate"]["rest_policy"] == "drop_all" and rules["moderate"]["topk_shap"] == 3
     assert rules["moderate"]["thresholds"] == {"delta_abs_min": 0.0025, "k_noise_std": 1.8}
     assert config.mode_rules({"fs": {"topk_shap": 1}}) == {"moderate": {"topk_shap": 1}}
+
+
+def test_feature_sets_share_one_placement_of_the_rows(spark, data, monkeypatch):
+    df = data.frame.select("row_key", "label", "sum_qty", "acct_bal", "total_price").withColumn(
+        "split", F.when(F.col("row_key") % 5 == 0, "val").when(F.col("row_key") % 5 == 1, "test").otherwise("train"))
+    sets = {"all": ["sum_qty", "acct_bal", "total_price"], "two": ["total_price", "sum_qty"], "one": ["acct_bal"]}
+    placed, plain = [], boosting._fills_and_count
+    monkeypatch.setattr(boosting, "_fills_and_count", lambda rows, features: placed.append(list(features)) or plain(rows, features))
+    metrics, models = train_eval_sets(df, sets, params=SMALL["xgb_final_params"])
+    assert placed == [["sum_qty", "acct_bal", "total_price"]]
+
+    # The same trees and the same figures as by one fit and one scoring for each set.
+    train, val = df.where("split = 'train'"), df.where("split = 'val'")
+    how = boosting.BoostParams.from_names({"random_state": 42, **SMALL["xgb_final_params"], "subsample": 1.0})
+    scored = None
+    for name, features in sets.items():
+        alone = boosting.train_gbt(train, features, "label", "row_key", how, val, name)
+        assert (alone.used, alone.fills, alone.features) == (models[name].used, models[name].fills, models[name].features)
+        assert (alone.trees.threshold == models[name].trees.threshold).all() and (alone.trees.value == models[name].trees.value).all()
+        part = boosting.predict_score(df, alone, keep=["split", "label"]).withColumn("model", F.lit(name))
+        scored = part if scored is None else scored.unionByName(part)
+    wanted = {(r["model"], r["split"]): r.asDict() for r in metrics_by_split(scored, ["model"]).collect()}
+    found = {(r["model"], r["split"]): r.asDict() for r in metrics.collect()}
+    assert len(found) == 9 and found.keys() == wanted.keys()
+    for place, row in found.items():
+        assert (row["n_rows"], row["n_pos"]) == (wanted[place]["n_rows"], wanted[place]["n_pos"])
+        assert row["pr_auc"] == pytest.approx(wanted[place]["pr_auc"], abs=1e-12) and row["roc_auc"] == pytest.approx(wanted[place]["roc_auc"], abs=1e-12)
+
+
+def test_holdout_is_marked_once(spark, data, monkeypatch):
+    plans, plain = [], experiment.fs_ensemble
+
+    def watched(rows, *others):
+        plans.extend([rows, others[-1]])
+        return plain(rows, *others)
+
+    monkeypatch.setattr(experiment, "fs_ensemble", watched)
+    df = data.frame.select("row_key", "label", "sum_qty", "acct_bal")
+    table = compute_artifacts(df, ["sum_qty", "acct_bal"], {"n_fs_models": 1, "fs_eval": {"neg_pos_ratio": 3}}, params=SMALL["xgb_fs_params"])
+    assert table.count() == 2
+    fitted, held = plans
+    assert all("md5" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+    assert held.count() == -(-df.count() // 4) and fitted.count() + held.count() == df.count()
