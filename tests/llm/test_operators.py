@@ -409,6 +409,19 @@ def test_substrings(spark, docs, nothing):
     assert substring_dedup.removals(docs).count() == len(ROWS) and substring_dedup.removals(nothing).count() == 0
 
 
+def test_substrings_of_words_said_over_and_over(spark):
+    """Texts with a few words repeated hundreds of times send each kind of block once, and lose what they should."""
+    base = BASE[2].split()
+    inside = lambda k, n, a: " ".join([*base[:a], *(f"p{i}" for _ in range(n) for i in range(k)), *base[a:2 * a]])
+    texts = [inside(2, 300, 40), inside(2, 300, 41), inside(2, 18, 0), inside(3, 90, 20), inside(35, 4, 5), inside(1, 200, 36), inside(1, 200, 36), "u v " * 17 + "u", "u v " * 18, "o " * 35, "lone pair " * 30]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    words, kept = repeats(texts, 35)
+    expected = [(i, len(w), len(w) - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for i, (w, k) in enumerate(zip(words, kept))]
+    assert got(substring_dedup.removals(made)) == sorted(expected, key=repr)
+    sent = substring_dedup.index(made, "text", 35, 12).select("anchors", "marks").collect()
+    assert [len(r["marks"]) for r in sent] == [len({*zip(r["anchors"], r["marks"])}) for r in sent] and len(sent) == len(texts)
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(600, 16)).astype(np.float32)

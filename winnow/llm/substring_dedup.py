@@ -10,6 +10,9 @@ factor, as long as the matches go on, and every window in it is a duplicate. At
 elsewhere but in another block, single windows are checked against the blocks of that anchor. Windows whose anchor occurs nowhere
 else cannot be duplicates. So exactly the windows that start anywhere else are found.
 
+A block that a document holds twice matches within it, whatever others hold. A stretch of a few words said over and over has a block at every
+repeat; so each document sends every kind of block once, with its number, and keeps the places of those it holds more often.
+
 Only anchors are shuffled at first (about one per twelve words); hot ones are counted before the shuffle and joined by parts. Windows are
 made just for factor boundaries, and one block stands for all equal ones there. Texts are never grouped.
 
@@ -57,12 +60,22 @@ def blocks_of(words: np.ndarray, width: int, seed: int):
     return first * _SPAN + count, seeds[chosen[first]].view(np.int64), marks.view(np.int64), windows.view(np.int64)
 
 
+def kinds_of(spans: np.ndarray, anchors: np.ndarray, marks: np.ndarray):
+    """(span, anchor, fingerprint, number) of each kind's first block in one text, and the spans of all blocks whose kind it holds again."""
+    order = np.lexsort((anchors, marks))
+    s, f = anchors[order], marks[order]
+    start = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (f[1:] != f[:-1]))[:len(order)])
+    number = np.diff(np.append(start, len(order)))
+    first = order[start]
+    return spans[first], anchors[first], marks[first], number, np.sort(spans[order[np.repeat(number > 1, number)]])
+
+
 def index(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """(rid, t, spans, anchors, marks): the blocks of every row that has any."""
-    @F.pandas_udf("spans array<long>, anchors array<long>, marks array<long>")
+    """(rid, t, spans, anchors, marks, numbers, own): the kinds of blocks of every row that has any, and its matches within itself."""
+    @F.pandas_udf("spans array<long>, anchors array<long>, marks array<long>, numbers array<long>, own array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
-        rows = [blocks_of(hashed(words_of(t, lower=False)), width, seed)[:3] for t in texts]
-        return pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(("spans", "anchors", "marks"))})
+        rows = [kinds_of(*blocks_of(hashed(words_of(t, lower=False)), width, seed)[:3]) for t in texts]
+        return pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(("spans", "anchors", "marks", "numbers", "own"))})
 
     rows = docs.select(text_key(text_col).alias("t"), made.asNondeterministic()(text_col).alias("d")).where(F.size("d.spans") > 0)
     return materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "t", "d.*"), "blocks")
@@ -86,17 +99,17 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     """(t, spans): per text with duplicates, its duplicate windows as first * 64 + number of windows."""
     workers.small_batches(docs.sparkSession)
     table = index(docs, text_col, width, seed)
-    blocks = table.select("rid", F.explode(F.arrays_zip("spans", "anchors", "marks")).alias("b")).select(
-        "rid", F.col("b.spans").alias("span"), F.col("b.anchors").alias("s"), F.col("b.marks").alias("f"))
+    blocks = table.select("rid", F.explode(F.arrays_zip("spans", "anchors", "marks", "numbers")).alias("b")).select(
+        "rid", F.col("b.spans").alias("span"), F.col("b.anchors").alias("s"), F.col("b.marks").alias("f"), F.col("b.numbers").alias("number"))
     shared = blocks.groupBy("s").agg(F.count("*").alias("n"), (F.min("f") == F.max("f")).alias("alike")).where("n > 1").select("s", "alike")
     shared = materialise(shared, "anchors")  # a plain table, so that Spark can split the join at hot anchors
     known = materialise(blocks.join(shared, "s"), "shared")
 
-    # Anchors with several kinds of blocks: kinds met twice match whole, the others are boundaries.
-    mixed_ = known.where(~F.col("alike")).select("rid", "span", "s", "f")
+    # Anchors with several kinds of blocks: kinds met twice match whole, the others are boundaries. What matches within its text needs no join.
+    mixed_ = known.where(~F.col("alike"))
     kinds = materialise(mixed_.groupBy("s", "f").agg(F.count("*").alias("n"), F.min(F.struct("rid", "span")).alias("first")), "kinds")
-    whole = known.where("alike").select("rid", "span").unionByName(
-        mixed_.join(kinds.where("n > 1").select("s", "f"), ["s", "f"], "left_semi").select("rid", "span"))
+    whole = known.where("alike AND number = 1").select("rid", "span").unionByName(
+        mixed_.where("number = 1").join(kinds.where("n > 1").select("s", "f"), ["s", "f"], "left_semi").select("rid", "span"))
     asked = kinds.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("first.span").alias("span"), "s")).alias("asked"))
 
     # One block of every kind shows its windows; those that another kind has as well are duplicates.
@@ -120,7 +133,8 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     single = rows.join(twice, ["s", "w"], "left_semi").select("rid", "span")
 
     spans = whole.unionByName(single).groupBy("rid").agg(F.collect_list("span").alias("spans"))
-    return spans.join(table.select("rid", "t"), "rid").groupBy("t").agg(F.max("spans").alias("spans"))
+    rows = table.select("rid", "t", "own").join(spans, "rid", "left").select("t", F.concat("own", F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"))
+    return rows.where(F.size("spans") > 0).groupBy("t").agg(F.max("spans").alias("spans"))
 
 
 def gone_words(spans, count: int, width: int) -> np.ndarray:
