@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from winnow.operators import boosting
 from winnow.operators.metrics import metrics_by_split
 from winnow.plans import config, experiment
+from winnow.plans.checks import boosted
 from winnow.plans.experiment import compute_artifacts, run_experiment, train_eval_sets
 from winnow.plans.matrices import orders_matrix
 from winnow.session import scratch_path
@@ -125,3 +126,16 @@ def test_holdout_is_marked_once(spark, data, monkeypatch):
     fitted, held = plans
     assert all("md5" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
     assert held.count() == -(-df.count() // 4) and fitted.count() + held.count() == df.count()
+
+
+def test_the_registered_experiment_shuffles_every_column(spark, sf, monkeypatch):
+    runs = []
+
+    def kept(*given):
+        runs.append(run_experiment(*given))
+        return runs[-1]
+
+    monkeypatch.setattr(boosted.X, "run_experiment", kept)
+    assert boosted.run_experiment(spark, sf).count() == 3
+    decided = runs[0].tables["decisions"]
+    assert decided.where("permuted").count() == decided.count() == 3 * 14
