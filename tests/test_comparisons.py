@@ -57,6 +57,40 @@ def test_replicates_against_plain_weights(spark):
     assert len(found[""]["replicate_pr_auc"]) == 20
 
 
+@pytest.mark.parametrize("limits", [{}, {"PART_ROWS": 100}, {"SPREAD": 1, "CELLS": 500}])
+def test_ranked_rows_agree_with_counts(spark, monkeypatch, limits):
+    draw = random.Random(2)
+    # A third of the rows share a score, and nothing lies above the other frequent one.
+    made = [("m", f, i, int(draw.random() < 0.3), draw.choice([0.5, 0.5, 1.0, draw.random(), draw.random(), -draw.random()])) for f in ("", "a") for i in range(1500)]
+    scores = spark.createDataFrame(made, "model string, feature string, k long, y int, s double").repartition(3)
+    counts = significance.replicate_counts(scores, ["model", "feature"], "y", "k", "s", replicates=20, seed=7)
+    wanted = {r["feature"]: r for r in significance.replicate_precision(counts, ["model", "feature"], 20).collect()}
+    for name, value in {"TIED": 10**9, **limits}.items():
+        monkeypatch.setattr(significance, name, value)
+    found = {r["feature"]: r for r in significance.resampled_precision(scores, ["model", "feature"], "y", "k", "s", 20, 7).collect()}
+    assert set(found) == set(wanted)
+    for feature, row in found.items():
+        assert row["pr_auc"] == pytest.approx(wanted[feature]["pr_auc"], abs=1e-12)
+        assert row["replicate_pr_auc"] == pytest.approx(wanted[feature]["replicate_pr_auc"], abs=1e-12)
+
+
+def test_a_frequent_score_is_dealt_over_its_slices():
+    edges = [i // 64 for i in range(significance.SLICES - 1)]
+    parts, spans = significance._layout(edges, significance.SPREAD)
+    assert parts == list(range(significance.SLICES)) and [spans[n] for n in (0, 1, 64, 65, 128, 255)] == [0, 0, 63, 0, 63, 62]
+    few, none = significance._layout(edges, 3 * significance.PART_ROWS)
+    assert sorted(set(few)) == [0, 1, 2] and not any(none)
+
+
+def test_rows_travel_without_their_replicates(spark, rows):
+    weights = {"m": {"plain": 1.0, "left": 1.0}}
+    tested = significance.delta_significance(rows, weights, ["plain", "left"], rows_per_block=500)
+    tested.collect()
+    plan = tested._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # A distinct score carried two longs per replicate through two shuffles.
+    assert "r63" not in plan and "_r4" not in plan
+
+
 def test_weights_are_poisson(spark):
     hashed = spark.range(4_000).select(*significance.replicate_hashes("id", 32))
     found = hashed.select(F.explode(F.array(*[significance.replicate_weight(b) for b in range(32)])).alias("w")).groupBy("w").count().collect()
