@@ -285,3 +285,32 @@ def test_training_tasks_follow_the_rows(spark, rows):
     with boosting.training_rows(rows, ["plain", "left"], "label", "row_key") as (held, _):
         assert held.rdd.getNumPartitions() == 1
     assert [boosting._parts_for(n) for n in (0, 90_000, 540_000, 32_000_000)] == [1, 2, 11, 128]
+
+
+def test_a_round_of_shadows_is_placed_as_it_is_made(spark, rows, monkeypatch):
+    names, how = ["plain", "left", "steps"], boosting.BoostParams(rounds=3, depth=3)
+    both = [*names, *[baselines.SHADOW + f for f in names]]
+    stored, passes, real = [], [], boosting._fills_and_count
+    monkeypatch.setattr(baselines, "materialise", lambda df, label: stored.append(label) or df)
+    monkeypatch.setattr(boosting, "_fills_and_count", lambda *given: passes.append(1) or real(*given))
+    measure = baselines.tree_measure(rows, params=how, seed=5)
+    found = {number: {r["feature"]: tuple(r)[1:] for r in measure(names, number).collect()} for number in (1, 2)}
+    assert stored == [] and len(passes) == 1
+    shuffled = baselines.with_shadows(rows.select("row_key", "label", *names), names, seed=5 + 2)
+    model = boosting.train_gbt(shuffled, both, params=how)
+    alone = {r["feature"]: r["mean_abs_shap"] for r in importance.shap_importance(shuffled, [model]).collect()}
+    for f in names:
+        assert found[2][f] == pytest.approx((alone[f], alone[baselines.SHADOW + f]), abs=1e-12)
+    assert found[1] != found[2]
+
+
+def test_fits_on_one_placement_equal_fits_alone(spark, rows, monkeypatch):
+    passes, real, how = [], boosting._fills_and_count, boosting.BoostParams(rounds=3, depth=3)
+    sets = [["plain", "left", "noise"], ["noise", "plain"]]
+    alone = [boosting.train_gbt(rows, s, params=how) for s in sets]
+    monkeypatch.setattr(boosting, "_fills_and_count", lambda *given: passes.append(1) or real(*given))
+    with boosting.fits_on(rows, ["noise", "plain", "left"], params=how) as fit:
+        placed = [fit("model", s) for s in sets]
+    assert len(passes) == 1
+    for a, b in zip(alone, placed):
+        assert a.features == b.features and a.fills == b.fills and np.array_equal(a.trees.value, b.trees.value) and np.array_equal(a.trees.threshold, b.trees.threshold)

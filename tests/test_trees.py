@@ -135,3 +135,9 @@ def test_parameter_names():
 def test_missing_values_are_kept_apart(data, model):
     low = data.agg(F.min("a")).first()[0]
     assert model.fills[0] == pytest.approx(low - 1.0)
+
+
+def test_shapley_values_add_up_beyond_the_edges(model):
+    rows = np.random.default_rng(2).random((4, len(FEATURES)))
+    rows[0, 0], rows[1, 1], rows[2, 2], rows[3, 0] = -np.inf, np.inf, -np.inf, np.nan
+    assert model.ensemble.shapley(rows).sum(axis=1) + model.ensemble.expected_margin() == pytest.approx(model.ensemble.margin(rows), abs=1e-9)
